@@ -14,8 +14,8 @@ them are compared in further rounds, so no link that a band offers is lost.
 
 Defined results: null and empty texts have no lines; a line without a word is
 never dropped; the kept line is the first by (doc_id, line number), a null
-doc_id last; rows that repeat a doc_id with the same text count as one
-document and keep the same lines; lines of under ``width`` characters are one
+doc_id last; rows that share a doc_id, or have none, count as one document, so
+a line that two of them hold at the same place stays in both; lines of under ``width`` characters are one
 shingle, so only equal ones match; extra columns are ignored or carried
 through; an empty table gives an empty result. Two different lines share a
 name with probability 2**-64.
@@ -42,7 +42,9 @@ _BORROW = np.random.default_rng(11).integers(0, _BINS, size=(4096, _BINS))
 
 
 def _named(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+    """What Spark's xxhash64 gives for the line."""
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -323,12 +325,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = (
         line_decisions(docs)
         .groupBy("doc_id")
-        .agg(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", "line_id"))).alias("_gone"), F.min("line_no").alias("_any"))
+        .agg(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", "line_id"))).alias("_gone"))
         .where(F.size("_gone") > 0)
-        .select(F.col("doc_id").alias("_doc"), F.transform("_gone", lambda x: x["line_no"]).alias("_gone"))
+        .select(F.col("doc_id").alias("_doc"), "_gone")
     )
     joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("_doc")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    gone_here = lambda x, i: F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_id")))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~gone_here(x, i))
     kept = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     kept = kept.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, langid, linededup, mixing, quality, secrets, simhash, toxicity, urls
+from . import decontam, extraction, langid, linededup, mixing, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -50,10 +50,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_url_filter, op5_html_text,
-        op6_mixing, op7_secrets, op8_simhash, op9_toxicity,
+        op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination,
     )}
 
 

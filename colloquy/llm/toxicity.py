@@ -253,48 +253,50 @@ def _marginals(docs: list[list[str]], vocabulary: _Vocabulary, move: np.ndarray)
     return forward_backward(unary, sentences(ends), move), first
 
 
+def _judge(texts: pa.Array, model: tuple, vocabulary: _Vocabulary) -> Iterator[tuple[float, list]]:
+    """(score, spans) of each text, about half a million characters at a time."""
+    held, chars = [], 0
+    for i in range(len(texts)):
+        held.append(texts[i].as_py() or "")
+        chars += len(held[-1])
+        if chars < 500_000 and i + 1 < len(texts):
+            continue
+        p, first = _marginals([_TOKEN.findall(t) for t in held], vocabulary, model[1])
+        for k, t in enumerate(held):
+            own = p[first[k] : first[k + 1]]
+            x = model[2][0] + np.dot(model[2][1:], summary(own))
+            hit = np.flatnonzero(own >= 0.5)
+            places = [m.span() for m in _TOKEN.finditer(t)] if len(hit) else []
+            spans = [{"start": places[h][0], "end": places[h][1], "marginal": float(own[h])} for h in hit]
+            yield float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), spans
+        held, chars = [], 0
+
+
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> DataFrame:
     """(doc_id, held_out, score, spans): spans are (start, end, marginal) in
     code points, end exclusive, of the tokens tagged toxic."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])
-
-    def judged(texts: list[str], vocabulary, move: np.ndarray, top: np.ndarray) -> tuple[list, list]:
-        scores, spans = [], []
-        p, first = _marginals([_TOKEN.findall(t) for t in texts], vocabulary, move)
-        for i, t in enumerate(texts):
-            own = p[first[i] : first[i + 1]]
-            x = top[0] + np.dot(top[1:], summary(own))
-            scores.append(float(1 / (1 + np.exp(-np.clip(x, -30, 30)))))
-            hit = np.flatnonzero(own >= 0.5)
-            places = [m.span() for m in _TOKEN.finditer(t)] if len(hit) else []
-            spans.append([{"start": places[h][0], "end": places[h][1], "marginal": float(own[h])} for h in hit])
-        return scores, spans
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(model.value[0]) if model.value else None
         for b in it:
-            scores, spans, held, chars = [], [], [], 0
-            for i in range(b.num_rows):
-                t = b.column(2)[i].as_py() or ""
-                held.append(t)
-                chars += len(t)
-                if chars < 500_000 and i + 1 < b.num_rows:
-                    continue
-                if model.value:
-                    s, w = judged(held, vocabulary, model.value[1], model.value[2])
-                else:
-                    s, w = [0.0] * len(held), [[] for _ in held]
-                scores, spans, held, chars = scores + s, spans + w, [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=["doc_id", "held_out", "score", "spans"])
+            found = list(_judge(b.column(2), model.value, vocabulary)) if model.value else [(0.0, [])] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], span)], names=["doc_id", "held_out", "score", "spans"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return asked.mapInArrow(batches, "doc_id long, held_out boolean, score double, spans array<struct<start:long,end:long,marginal:double>>")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``most``. Rejected ids are joined
-    back by doc_id; a row with a null doc_id is judged by its own text only in
-    ``score`` and stays here."""
-    rejected = score(docs, labels).where(F.col("score") >= most).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(rejected, docs.doc_id.cast("long") == F.col("_doc"), "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, most: float = 0.5, sample_rows: int = 1000) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``most``. Each row
+    is judged by its own text where it is read; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    at = docs.columns.index("text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _Vocabulary(model.value[0]) if model.value else None
+        for b in it:
+            yield b.filter(pa.array([s < most for s, _ in _judge(b.column(at), model.value, vocabulary)], pa.bool_())) if model.value else b
+
+    return docs.mapInArrow(batches, docs.schema)
