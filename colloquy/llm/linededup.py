@@ -36,6 +36,7 @@ from .graph import components
 
 WIDTH, BANDS, ROWS, LIKENESS = 8, 12, 4, 0.8
 _BINS = BANDS * ROWS
+_AGREE = 26
 _NONE = np.uint64(1 << 32)
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, size=8, dtype=np.uint64) | np.uint64(1)
 _BORROW = np.random.default_rng(11).integers(0, _BINS, size=(4096, _BINS))
@@ -53,8 +54,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
-    """(lines, BANDS) int64: equal entries in a column are candidates."""
+def signatures(lines: list[str], width: int = WIDTH) -> np.ndarray:
+    """(lines, bins) uint64: the least shingle hash of each bin."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     padded = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -83,13 +84,24 @@ def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
         hit = got != _NONE
         full[empty[hit]] = got[hit]
         empty, base, slot = empty[~hit], base[~hit], slot[~hit]
-    sig = full.reshape(len(lines), BANDS, ROWS)
+    return full.reshape(len(lines), _BINS)
+
+
+def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
+    """(lines, BANDS) int64: equal entries in a column are candidates."""
+    sig = signatures(lines, width).reshape(len(lines), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _ODD[6], (len(lines), BANDS)).copy()
     for r in range(ROWS):
         key = _mix((key + sig[:, :, r]) * _ODD[3 if r % 2 else 4])
     return key.view(np.int64)
 
 
+def sketches(lines: list[str]) -> list[bytes]:
+    """A byte of each bin: lines of Jaccard 0.8 agree in fewer than ``_AGREE``
+    of them with probability 3e-6, so pairs that do are not verified."""
+    return [row.tobytes() for row in _mix(signatures(lines)).astype(np.uint8)] if lines else []
+
+
 def shingles(line: str, width: int = WIDTH) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
@@ -175,30 +187,39 @@ def _members(banded: DataFrame) -> DataFrame:
     return banded.repartition("band").mapInArrow(run, "band long, leader long, id long")
 
 
-def _across(members: DataFrame, every: bool, turn: int) -> DataFrame:
-    """(band, id, root) -> (u, v): pairs across the components of a band. All
-    of them where they are few or ``every`` is set, else those of one more
-    leader. Pairs leave in blocks, so a task never holds a band's pairs."""
+def _across(members: DataFrame, every: bool) -> DataFrame:
+    """(band, id, root, sketch) -> (u, v): pairs across the components of a
+    band whose sketches agree. Where a band has very many and ``every`` is not
+    set, those of a few further leaders only, and a row (0, 0) that says so.
+    Pairs leave in blocks: a task never holds a band's pairs. Pairs with the
+    band's smallest line have been compared before."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, name, root = _whole(it, 3)
-        order = np.lexsort((name, root, band))
-        band, name, root = band[order], name[order], root[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(band)] if len(band) else np.zeros(1, dtype=np.int64)
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)) for b in it]
+        if not got:
+            return
+        band, name, root, sketch = (np.concatenate([g[i] for g in got]) for i in range(4))
+        order = np.lexsort((name, band))
+        band, name, root, sketch = band[order], name[order], root[order], sketch[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(band)]
         held_u, held_v, held = [], [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if root[lo] == root[hi - 1] or hi - lo < 3:
+            if hi - lo < 3 or (root[lo:hi] == root[lo]).all():
                 continue
-            n, r = name[lo:hi], root[lo:hi]
+            n, r, k = name[lo + 1 : hi], root[lo + 1 : hi], sketch[lo + 1 : hi]
             _, sizes = np.unique(r, return_counts=True)
-            if every or (len(n) ** 2 - (sizes**2).sum()) // 2 <= 16 * len(n):
-                heads = range(len(n))
-            else:
-                heads = [int(np.argmin(_mix(n.view(np.uint64) + np.uint64(turn) * _ODD[2])))]
+            many = not every and (len(n) ** 2 - (sizes**2).sum()) // 2 > 64 * len(n)
+            heads = np.argsort(_mix(n.view(np.uint64)))[:8] if many else range(len(n))
+            if many:
+                held_u.append(np.zeros(1, dtype=np.int64))
+                held_v.append(np.zeros(1, dtype=np.int64))
+                held += 1
             for i in heads:
-                far = n[r > r[i]] if len(heads) > 1 else n[r != r[i]]
-                held_u.append(np.minimum(n[i], far))
-                held_v.append(np.maximum(n[i], far))
+                far = r != r[i] if many else (r != r[i]) & (n > n[i])
+                far = np.flatnonzero(far)
+                far = far[(k[far] == k[i]).sum(axis=1) >= _AGREE]
+                held_u.append(np.minimum(n[i], n[far]))
+                held_v.append(np.maximum(n[i], n[far]))
                 held += len(far)
                 if held > 65536:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (held_u, held_v)], names=["u", "v"])
@@ -222,7 +243,7 @@ def _bitmap(ids: DataFrame, bits: int = 23) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the named lines."""
+    """(id, line, sketch) of the named lines."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_bitmap(ids))
 
@@ -241,12 +262,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                         seen.add(n)
                         names.append(n)
                         lines.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+            made = [x for at in range(0, len(lines), 2000) for x in sketches(lines[at : at + 2000])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string()), pa.array(made, pa.binary())], names=["id", "line", "sketch"])
             if len(seen) > 2_000_000:
                 seen.clear()
 
-    lines = docs.select("text").mapInArrow(batches, "id long, line string")
-    return lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = docs.select("text").mapInArrow(batches, "id long, line string, sketch binary")
+    return lines.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -255,47 +277,50 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
         for b in it:
-            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = []
-            for i, x in enumerate(u):
+            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, _BINS) for i in (4, 5))
+            likely = np.flatnonzero((left == right).sum(axis=1) >= _AGREE)
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for i in likely.tolist():
+                x = b.column(0)[i].as_py()
                 if x != last:
                     last, last_set = x, shingles(b.column(2)[i].as_py())
-                keep.append(similar(last_set, shingles(b.column(3)[i].as_py())))
-            k = pa.array(keep, pa.bool_())
+                keep[i] = similar(last_set, shingles(b.column(3)[i].as_py()))
+            k = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["u", "v"])
 
-    right = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    both = right.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    right = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("sketch").alias("sb")), "v")
+    both = right.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("sketch").alias("sa")), "u")
+    return both.select("u", "v", "a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, leader_rounds: int = 3) -> DataFrame:
+def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the line names that are not their component's smallest."""
-    spark = docs.sparkSession
+    spark, paths = docs.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held, path = stash(df)
+        paths.append(path)
+        return held
+
     banded = lines.select("fresh", F.posexplode("bands").alias("i", "band")).select("band", F.expr(f"fresh[i div {BANDS}]").alias("id"))
-    members, members_path = stash(_members(banded))
-    # Pairs across components that later rounds compare share a band with the
-    # same lines, so these texts serve all rounds.
-    ids = members.select("id").union(members.select("leader")).distinct()
-    texts, texts_path = stash(_texts(docs, ids))
-    tried, tried_path = stash(members.select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
-    links, links_path = stash(_verified(tried, texts))
-    paths = [members_path, texts_path, tried_path, links_path]
+    members = keep(_members(banded))
+    # Later rounds compare lines of the same bands, so these texts serve them too.
+    texts = keep(_texts(docs, members.select(F.explode(F.array("id", "leader")).alias("id")).distinct()))
+    tried = keep(members.select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
+    links = keep(_verified(tried, texts))
     roots = components(links)
-    rows = members.select("band", "id").union(members.select("band", F.col("leader").alias("id"))).distinct()
-    for turn in range(leader_rounds + 1):
-        rooted = rows.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        more = _across(rooted, turn == leader_rounds, turn)
-        pairs, path = stash(more.join(tried, ["u", "v"], "left_anti"))
-        paths.append(path)
-        if pairs.isEmpty():
-            if turn == leader_rounds:
-                break
-            continue
-        found, path = stash(_verified(pairs, texts))
-        paths.append(path)
-        links, tried = links.union(found), tried.union(pairs)
-        roots = components(links)
+    crowded = members.groupBy("band").agg(F.min("leader").alias("leader")).select("band", F.col("leader").alias("id")).union(members.select("band", "id"))
+    rows = keep(crowded.join(texts.select("id", "sketch"), "id"))
+    for every in (False, True):
+        rooted = rows.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"), "sketch")
+        pairs = keep(_across(rooted, every).join(tried, ["u", "v"], "left_anti"))
+        found = pairs.where("u <> v")
+        if not found.isEmpty():
+            links = links.union(keep(_verified(found, texts)))
+            roots = components(links)
+        if pairs.where("u = v").isEmpty():
+            break
+        tried = tried.union(found)
     roots, _ = stash(roots)
     for path in paths:
         discard(spark, path)
