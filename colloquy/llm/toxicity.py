@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,11 +46,20 @@ def bare(token: str) -> str:
     return _EDGE.sub("", token.lower())
 
 
-def features(token: str) -> list[int]:
-    """Buckets of the word, its ends and its shape; 0 fills up the list."""
+def parts(token: str) -> list[str]:
+    """The features of a token: the word, its ends and its shape."""
     w = bare(token)
-    named = [f"w={w}", f"s={w[-3:]}", f"n={min(len(w), 8)}", f"c={token[:1].isupper()}", *(f"p={w[:n]}" for n in STEMS if len(w) > n)]
-    hashed = [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1) for x in named]
+    n = len(w)
+    return ["w=" + w, "s=" + w[-3:], f"n={n if n < 8 else 8}", "c=1" if token[:1].isupper() else "c=0", *["p=" + w[:k] for k in STEMS if n > k]]
+
+
+def bucket(part: str) -> int:
+    return 1 + zlib.crc32(part.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1)
+
+
+def features(token: str) -> list[int]:
+    """Buckets of the token's features; 0 fills up the list."""
+    hashed = [bucket(x) for x in parts(token)]
     return [*hashed, *[0] * (4 + len(STEMS) - len(hashed))]
 
 
@@ -112,26 +122,46 @@ class _Vocabulary:
     def __init__(self, weights: np.ndarray | None = None, most: int = 500_000):
         self.number: dict[str, int] = {}
         self.rows: list[list[int]] = []
-        self.unary: list[float] = []
-        self.ends: list[bool] = []
+        self.unary, self.ends = array("d"), bytearray()
         self.weights, self.most = weights, most
+        self.known: dict[str, float] = {}  # scores of features, by their names
 
     def tokens(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.most:  # only spares work
             self.__init__(self.weights, self.most)
-        number, out = self.number, []
-        for w in words:
-            k = number.get(w)
-            if k is None:
-                k = number[w] = len(number)
-                f = features(w)
-                self.ends.append(w.endswith((".", "!", "?")))
-                if self.weights is None:
-                    self.rows.append(f)
-                else:
-                    self.unary.append(float(self.weights[f].sum()))
-            out.append(k)
-        return np.array(out, dtype=np.int64)
+        number = self.number
+        found = [number.get(w, -1) for w in words]
+        if -1 in found:
+            for i, k in enumerate(found):
+                if k < 0:
+                    found[i] = self._add(words[i])
+        return np.array(found, dtype=np.int64)
+
+    def _add(self, word: str) -> int:
+        k = self.number.setdefault(word, len(self.number))
+        if k == len(self.ends):
+            self.ends.append(word.endswith((".", "!", "?")))
+            if self.weights is None:
+                self.rows.append(features(word))
+            else:
+                self.unary.append(self._score(word))
+        return k
+
+    def _score(self, word: str) -> float:
+        known, named = self.known, parts(word)
+        total = (4 + len(STEMS) - len(named)) * float(self.weights[0])
+        for x in named:
+            v = known.get(x)
+            if v is None:
+                v = known[x] = float(self.weights[bucket(x)])
+            total += v
+        return total
+
+    def ending(self, k: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.ends, dtype=bool)[k]
+
+    def scores(self, k: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.unary, dtype=np.float64)[k]
 
 
 def stems(word: str) -> list[str]:
@@ -165,7 +195,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, rounds: int = 40, rate: floa
     for t, y in zip(texts, labels, strict=True):
         tokens = _TOKEN.findall(t)
         k = vocabulary.tokens(tokens)
-        starts = sentences(np.array([vocabulary.ends[i] for i in k], dtype=bool))
+        starts = sentences(vocabulary.ending(k)) if len(k) else np.zeros(0, dtype=np.int64)
         number.append(k)
         tagged.append(np.array([bool(y) and not words.isdisjoint(stems(bare(w))) for w in tokens], dtype=bool))
         first.append(starts + at)
@@ -247,7 +277,7 @@ def _marginals(docs: list[list[str]], vocabulary: _Vocabulary, move: np.ndarray)
     k = vocabulary.tokens([w for d in docs for w in d])
     if not len(k):
         return np.zeros(0), first
-    ends, unary = np.array(vocabulary.ends)[k], np.array(vocabulary.unary)[k]
+    ends, unary = vocabulary.ending(k), vocabulary.scores(k)
     begin = first[1:-1]
     ends[begin[begin > 0] - 1] = True  # no sentence crosses documents
     return forward_backward(unary, sentences(ends), move), first
