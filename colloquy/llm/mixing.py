@@ -9,8 +9,9 @@ document takes the nearer whole number; the words that this adds or lacks are
 made up by single copies of documents of that last meeting, largest first.
 
 Documents meet in groups of about ``group_rows`` of a source, so a hot source
-is many groups; each group leaves one undecided document at most, and these
-meet in a tree of ``fan_in`` groups a node until one is left.
+is many groups; each group leaves one undecided document at most and a few of
+all sizes, as change, and these meet in a tree of ``fan_in`` groups a node
+until one is left.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; null doc_ids and repeated rows are documents like any other; with
@@ -60,8 +61,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     )
 
 
-def _settle(seed: int, level: int, last: bool):
-    """Pivotal rounding of one group; ``last`` also settles what is left."""
+def _settle(seed: int, level: int, last: bool, change: int = 24):
+    """Pivotal rounding of one group; ``last`` also settles what is left.
+    Before that a group passes ``change`` documents of all sizes on as well."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -70,7 +72,10 @@ def _settle(seed: int, level: int, last: bool):
         coin = draw.random(len(p) + 1)
         taken = np.full(len(p), -1, dtype=np.int64)
         at = -1  # the document that goes on, undecided
+        passed = set() if last else set(np.linspace(0, len(p) - 1, change).astype(int).tolist())
         for i in range(len(p)):
+            if i in passed:
+                continue
             if at < 0:
                 at = i
             else:
