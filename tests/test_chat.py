@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 
 from colloquy.functions import frames
 from colloquy.functions import text as T
-from colloquy.operators import access, context, fragments, history, memory, metering, mutations, prompts, search
+from colloquy.operators import access, context, fragments, history, hooks, memory, metering, mutations, prompts, search
 from colloquy.settings import SETTINGS, merged
 from colloquy.streaming import state
 
@@ -192,3 +192,16 @@ def test_post_turn(spark, tmp_path):
     sink(batch, 0)  # a retried batch
     assert spark.read.parquet(f"{tmp_path}/cold").count() == 2
     assert spark.read.json(f"{tmp_path}/usage").first()["usageTokens"] == 8
+
+
+def test_hooks(spark):
+    rows = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "blank"), ("d", None)], "session_id string, prompt string")
+    answers = {"good": " a summary ", "blank": "  "}
+    done = hooks.completed(rows, lambda p: answers[p])
+    assert {r["session_id"]: (r["answer"], r["error"]) for r in done.collect()} == {"a": (" a summary ", None), "b": (None, "KeyError: 'bad'"), "c": ("  ", None), "d": (None, None)}
+    changes = hooks.summaries(done, F.lit(5))
+    assert [tuple(r) for r in changes.collect()] == [("a", 5, "a summary")]
+    owners = spark.createDataFrame([("a", "u")], "session_id string, user_id string")
+    assert [tuple(r) for r in hooks.ingested(messages(spark, [("a", 1, "user", None, 1), ("b", 1, "user", "x", 1)]), owners).collect()] == [("u", "user", None)]
+    zipped = spark.createDataFrame([(["x", "y"], [1, 2])], "c array<string>, r array<int>").select(hooks.with_results(F.col("c"), F.col("r"))).first()[0]
+    assert [(z["call"], z["result"]) for z in zipped] == [("x", 1), ("y", 2)]
