@@ -22,7 +22,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .where("v > u")
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         .where("u <> v")
-        .distinct()
     )
 
 
@@ -53,3 +52,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(spark, path)
         current, path = following, next_path
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+

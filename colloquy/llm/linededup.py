@@ -7,10 +7,12 @@ hash that falls into it, and an empty bin borrows from a bin that a fixed
 table names. Twelve bands of four bins find a pair at Jaccard 0.8 with
 probability 0.998, and at 0.85 with 0.9998.
 
-Lines that share a band are compared with the smallest of them, never all with
-all. Exact Jaccard over the shingle sets decides, and components are joined by
-distributed union-find. Where a band still holds two components, lines across
-them are compared in further rounds, so no link that a band offers is lost.
+Lines that share a band meet in one task, a large band in blocks. Byte sketches
+of the bins rule out most pairs; exact Jaccard over the shingle sets decides the
+rest. A pair is skipped once the task has joined its two lines, so a group of
+near copies costs about as many comparisons as it has lines, and tasks emit a
+forest; distributed union-find joins the forests. No link that a band offers
+is lost.
 
 Defined results: null and empty texts have no lines; a line without a word is
 never dropped; the kept line is the first by (doc_id, line number), a null
@@ -93,7 +95,8 @@ def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _ODD[6], (len(lines), BANDS)).copy()
     for r in range(ROWS):
         key = _mix((key + sig[:, :, r]) * _ODD[3 if r % 2 else 4])
-    return key.view(np.int64)
+    # The low bits name the band.
+    return ((key & ~np.uint64(15)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def sketches(lines: list[str]) -> list[bytes]:
@@ -168,66 +171,97 @@ def _whole(it: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
 
 
 def _members(banded: DataFrame) -> DataFrame:
-    """(band, id) -> (band, leader, id): bands that hold two lines or more,
-    without the leader's own row. A task holds 16 bytes a row."""
+    """(band, id) -> (band, id, n): the rows of bands that hold n >= 2
+    different lines. A task holds 16 bytes for each row of its partition."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, name = _whole(it, 2)
         order = np.lexsort((name, band))
         band, name = band[order], name[order]
         if len(band):
-            new = np.r_[True, (band[1:] != band[:-1])]
-            again = np.r_[False, (band[1:] == band[:-1]) & (name[1:] == name[:-1])]
-            leader = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-            rows = ~new & ~again
-            for at in range(0, int(rows.sum()), 65536):
-                pick = np.flatnonzero(rows)[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (band, leader, name)], names=["band", "leader", "id"])
-
-    return banded.repartition("band").mapInArrow(run, "band long, leader long, id long")
-
-
-def _across(members: DataFrame, every: bool) -> DataFrame:
-    """(band, id, root, sketch) -> (u, v): pairs across the components of a
-    band whose sketches agree. Where a band has very many and ``every`` is not
-    set, those of a few further leaders only, and a row (0, 0) that says so.
-    Pairs leave in blocks: a task never holds a band's pairs. Pairs with the
-    band's smallest line have been compared before."""
+            once = np.r_[True, (band[1:] != band[:-1]) | (name[1:] != name[:-1])]
+            band, name = band[once], name[once]
+            first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            size = np.diff(np.append(first, len(band)))
+            n = np.repeat(size, size)
+            rows = np.flatnonzero(n > 1)
+            for at in range(0, len(rows), 65536):
+                pick = rows[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (band, name, n)], names=["band", "id", "n"])
+
+    return banded.repartition("band").mapInArrow(run, "band long, id long, n long")
+
+
+class _Bucket:
+    """Lines of one band, or of two blocks of a large one, joined by exact
+    Jaccard. A pair is compared in the first band that both lines share, and
+    not at all once it is joined."""
+
+    def __init__(self, band: int, name: np.ndarray, block: np.ndarray, sketch: list[bytes], line: list[str], across: bool):
+        order = np.argsort(name, kind="stable")
+        self.name, self.block, self.across = name[order], block[order], across
+        self.sketch = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, _BINS)[order]
+        self.line = [line[i] for i in order]
+        self.sets: dict[int, set[str]] = {}
+        self.band = band & 15
+
+    def _set(self, i: int) -> set[str]:
+        if i not in self.sets:
+            self.sets[i] = shingles(self.line[i])
+        return self.sets[i]
+
+    def links(self) -> tuple[list[int], list[int]]:
+        label, u, v = np.arange(len(self.name)), [], []
+        for i in range(len(self.name) - 1):
+            far = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if self.across:
+                far = far[self.block[far] != self.block[i]]
+            if not len(far):
+                continue
+            same = self.sketch[far] == self.sketch[i]
+            far = far[(same.sum(axis=1) >= _AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band)]
+            for j in far.tolist():
+                if label[j] != label[i] and similar(self._set(i), self._set(j)):
+                    label[label == label[j]] = label[i]
+                    u.append(int(self.name[i]))
+                    v.append(int(self.name[j]))
+            self.sets.pop(i, None)
+        return u, v
+
+
+def _links(rows: DataFrame, block_rows: int = 20000) -> DataFrame:
+    """(band, id, n, line, sketch) -> (u, v): a forest of each band's links. A
+    band of more than ``block_rows`` lines is cut into blocks, and each pair of
+    blocks goes to a task of its own."""
+    k = F.ceil(F.col("n") / block_rows)
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), k))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).select(
+        "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "block", "sketch", "line"
+    )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)) for b in it]
-        if not got:
-            return
-        band, name, root, sketch = (np.concatenate([g[i] for g in got]) for i in range(4))
-        order = np.lexsort((name, band))
-        band, name, root, sketch = band[order], name[order], root[order], sketch[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(band)]
-        held_u, held_v, held = [], [], 0
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo < 3 or (root[lo:hi] == root[lo]).all():
-                continue
-            n, r, k = name[lo + 1 : hi], root[lo + 1 : hi], sketch[lo + 1 : hi]
-            _, sizes = np.unique(r, return_counts=True)
-            many = not every and (len(n) ** 2 - (sizes**2).sum()) // 2 > 64 * len(n)
-            heads = np.argsort(_mix(n.view(np.uint64)))[:8] if many else range(len(n))
-            if many:
-                held_u.append(np.zeros(1, dtype=np.int64))
-                held_v.append(np.zeros(1, dtype=np.int64))
-                held += 1
-            for i in heads:
-                far = r != r[i] if many else (r != r[i]) & (n > n[i])
-                far = np.flatnonzero(far)
-                far = far[(k[far] == k[i]).sum(axis=1) >= _AGREE]
-                held_u.append(np.minimum(n[i], n[far]))
-                held_v.append(np.maximum(n[i], n[far]))
-                held += len(far)
-                if held > 65536:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (held_u, held_v)], names=["u", "v"])
-                    held_u, held_v, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (held_u, held_v)], names=["u", "v"])
-
-    return members.repartition("band").mapInArrow(run, "u long, v long").distinct()
+        def flush(key, held):
+            name, block = (np.array([h[c] for h in held], dtype=np.int64) for c in (0, 1))
+            return _Bucket(key[0], name, block, [h[2] for h in held], [h[3] for h in held], key[1] != key[2]).links()
+
+        key, held, u, v = None, [], [], []
+        for b in it:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        a, z = flush(key, held)
+                        u, v = u + a, v + z
+                    key, held = row[:3], []
+                held.append(row[3:])
+            if len(u) > 10000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+        if len(held) > 1:
+            a, z = flush(key, held)
+            u, v = u + a, v + z
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "u long, v long")
 
 
 def _bitmap(ids: DataFrame, bits: int = 23) -> np.ndarray:
@@ -271,59 +305,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have Jaccard LIKENESS or more."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, set()
-        for b in it:
-            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, _BINS) for i in (4, 5))
-            likely = np.flatnonzero((left == right).sum(axis=1) >= _AGREE)
-            keep = np.zeros(b.num_rows, dtype=bool)
-            for i in likely.tolist():
-                x = b.column(0)[i].as_py()
-                if x != last:
-                    last, last_set = x, shingles(b.column(2)[i].as_py())
-                keep[i] = similar(last_set, shingles(b.column(3)[i].as_py()))
-            k = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["u", "v"])
-
-    right = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("sketch").alias("sb")), "v")
-    both = right.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("sketch").alias("sa")), "u")
-    return both.select("u", "v", "a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
-
-
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, root) of the line names that are not their component's smallest."""
-    spark, paths = docs.sparkSession, []
-
-    def keep(df: DataFrame) -> DataFrame:
-        held, path = stash(df)
-        paths.append(path)
-        return held
-
     banded = lines.select("fresh", F.posexplode("bands").alias("i", "band")).select("band", F.expr(f"fresh[i div {BANDS}]").alias("id"))
-    members = keep(_members(banded))
-    # Later rounds compare lines of the same bands, so these texts serve them too.
-    texts = keep(_texts(docs, members.select(F.explode(F.array("id", "leader")).alias("id")).distinct()))
-    tried = keep(members.select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
-    links = keep(_verified(tried, texts))
+    members, members_path = stash(_members(banded))
+    texts = _texts(docs, members.select("id").distinct())
+    links, links_path = stash(_links(members.join(texts, "id")))
     roots = components(links)
-    crowded = members.groupBy("band").agg(F.min("leader").alias("leader")).select("band", F.col("leader").alias("id")).union(members.select("band", "id"))
-    rows = keep(crowded.join(texts.select("id", "sketch"), "id"))
-    for every in (False, True):
-        rooted = rows.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"), "sketch")
-        pairs = keep(_across(rooted, every).join(tried, ["u", "v"], "left_anti"))
-        found = pairs.where("u <> v")
-        if not found.isEmpty():
-            links = links.union(keep(_verified(found, texts)))
-            roots = components(links)
-        if pairs.where("u = v").isEmpty():
-            break
-        tried = tried.union(found)
-    roots, _ = stash(roots)
-    for path in paths:
-        discard(spark, path)
+    for path in (members_path, links_path):
+        discard(docs.sparkSession, path)
     return roots
 
 
