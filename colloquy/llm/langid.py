@@ -4,8 +4,9 @@ penalties, its probabilities calibrated by a temperature.
 
 Document frequencies cover every training document. The regression is fitted on
 a sample of at most about ``sample_rows`` of them, shared evenly among the
-languages by a hash of the id, and held in 2**15 buckets; what is collected and
-broadcast does not grow with the corpus. Prediction is one scan, no shuffle.
+languages (the 1000 most frequent; a row of weights each) by a hash of the id,
+and held in 2**15 buckets; what is collected and broadcast does not grow with
+the corpus. Prediction is one scan, no shuffle.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 as is every text where no language was learned; a null doc_id is never held

@@ -326,7 +326,8 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     rooted = every.join(roots, every.line_id == roots.id, "left").select("doc_id", "line_no", "line_id", F.coalesce("root", "line_id").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "line_no")
     first = rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    many = first.where("n > 1").select("root", "first")
+    # Read from a table, so that the join can split a hot component's lines.
+    many, _ = stash(first.where("n > 1").select("root", "first"))
     own = F.struct(F.col("doc_id").isNull().alias("nowhere"), "doc_id", "line_no")
     return rooted.join(many, "root", "left").withColumn("first", F.coalesce("first", own)).select(
         "doc_id", "line_no", "line_id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
