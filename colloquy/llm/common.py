@@ -18,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of sessions that name none, by application id.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a
     local one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        _OWN[key] = tempfile.mkdtemp(prefix="spark-scratch-")
+    return _OWN[key]
 
 
 def stash(df: DataFrame) -> tuple[DataFrame, str]:

@@ -229,7 +229,7 @@ class _Bucket:
         return u, v
 
 
-def _links(rows: DataFrame, block_rows: int = 20000) -> DataFrame:
+def _links(rows: DataFrame, block_rows: int) -> DataFrame:
     """(band, id, n, line, sketch) -> (u, v): a forest of each band's links. A
     band of more than ``block_rows`` lines is cut into blocks, and each pair of
     blocks goes to a task of its own."""
@@ -305,12 +305,12 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def similar_lines(docs: DataFrame, lines: DataFrame, block_rows: int = 20000) -> DataFrame:
     """(id, root) of the line names that are not their component's smallest."""
     banded = lines.select("fresh", F.posexplode("bands").alias("i", "band")).select("band", F.expr(f"fresh[i div {BANDS}]").alias("id"))
     members, members_path = stash(_members(banded))
     texts = _texts(docs, members.select("id").distinct())
-    links, links_path = stash(_links(members.join(texts, "id")))
+    links, links_path = stash(_links(members.join(texts, "id"), block_rows))
     roots = components(links)
     for path in (members_path, links_path):
         discard(docs.sparkSession, path)
@@ -341,15 +341,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = (
         line_decisions(docs)
         .groupBy("doc_id")
-        .agg(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", "line_id"))).alias("_gone"))
-        .where(F.size("_gone") > 0)
-        .select(F.col("doc_id").alias("_doc"), "_gone")
+        .agg(F.collect_set(F.when(~F.col("kept"), F.struct("line_no", "line_id"))).alias("__gone_lines"))
+        .where(F.size("__gone_lines") > 0)
+        .select(F.col("doc_id").alias("__gone_doc"), "__gone_lines")
     )
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("_doc")), "left")
-    gone_here = lambda x, i: F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_id")))
+    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("__gone_doc")), "left")
+    gone_here = lambda x, i: F.array_contains("__gone_lines", F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_id")))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~gone_here(x, i))
-    kept = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    kept = kept.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = joined.withColumn("text", F.when(F.col("__gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    kept = kept.where(F.col("__gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        kept = kept.withColumn("n_chars", F.when(F.col("__gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return kept.select(*docs.columns)

@@ -100,6 +100,10 @@ def test_line_dedup_dense_group(spark):
         rows.append((i, " ".join(w)))
     got = linededup.line_decisions(made(spark, rows)).toPandas()
     assert set(zip(got[got.kept].doc_id, got[got.kept].line_no, strict=True)) == brute_lines(rows)
+    docs = made(spark, rows)
+    lines = linededup.line_table(docs)
+    whole, blocks = ({r["id"]: r["root"] for r in linededup.similar_lines(docs, lines, n).collect()} for n in (20000, 7))
+    assert whole and whole == blocks
 
 
 def test_line_dedup_edges(spark):
