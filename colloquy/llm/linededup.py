@@ -197,17 +197,16 @@ class _Bucket:
     Jaccard. A pair is compared in the first band that both lines share, and
     not at all once it is joined."""
 
-    def __init__(self, band: int, name: np.ndarray, block: np.ndarray, sketch: list[bytes], line: list[str], across: bool):
+    def __init__(self, band: int, name: np.ndarray, block: np.ndarray, sketch: np.ndarray, line: pa.ChunkedArray, across: bool):
         order = np.argsort(name, kind="stable")
-        self.name, self.block, self.across = name[order], block[order], across
-        self.sketch = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, _BINS)[order]
-        self.line = [line[i] for i in order]
+        self.name, self.block, self.across, self.sketch = name[order], block[order], across, sketch[order]
+        self.order, self.line = order.tolist(), line
         self.sets: dict[int, set[str]] = {}
         self.band = band & 15
 
     def _set(self, i: int) -> set[str]:
         if i not in self.sets:
-            self.sets[i] = shingles(self.line[i])
+            self.sets[i] = shingles(self.line[self.order[i]].as_py())
         return self.sets[i]
 
     def links(self) -> tuple[list[int], list[int]]:
@@ -229,6 +228,34 @@ class _Bucket:
         return u, v
 
 
+def _keys(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows.column(i).to_numpy() for i in range(3)])
+
+
+def _joined(rows: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """Links of whole buckets in a row. Buckets of two lines, which most are,
+    are ruled out together before any text is looked at."""
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    size = np.diff(np.append(first, len(key)))
+    name, block = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+    sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)
+    two = first[size == 2]
+    same = sketch[two] == sketch[two + 1]
+    likely = (same.sum(axis=1) >= _AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == key[two, 0] & 15)
+    likely &= (key[two, 1] == key[two, 2]) | (block[two] != block[two + 1])
+    u, v, line = [], [], rows.column(6)
+    for i in two[likely].tolist():
+        if similar(shingles(line[i].as_py()), shingles(line[i + 1].as_py())):
+            u.append(int(name[i]))
+            v.append(int(name[i + 1]))
+    for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        cut = slice(at, at + n)
+        bucket = _Bucket(int(key[at, 0]), name[cut], block[cut], sketch[cut], line.slice(at, n), bool(key[at, 1] != key[at, 2]))
+        a, z = bucket.links()
+        u, v = u + a, v + z
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _links(rows: DataFrame, block_rows: int) -> DataFrame:
     """(band, id, n, line, sketch) -> (u, v): a forest of each band's links. A
     band of more than ``block_rows`` lines is cut into blocks, and each pair of
@@ -240,26 +267,20 @@ def _links(rows: DataFrame, block_rows: int) -> DataFrame:
     )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, held):
-            name, block = (np.array([h[c] for h in held], dtype=np.int64) for c in (0, 1))
-            return _Bucket(key[0], name, block, [h[2] for h in held], [h[3] for h in held], key[1] != key[2]).links()
-
-        key, held, u, v = None, [], [], []
+        held: list[pa.RecordBatch] = []  # batches from the first bucket that has not ended
         for b in it:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] != key:
-                    if len(held) > 1:
-                        a, z = flush(key, held)
-                        u, v = u + a, v + z
-                    key, held = row[:3], []
-                held.append(row[3:])
-            if len(u) > 10000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                u, v = [], []
-        if len(held) > 1:
-            a, z = flush(key, held)
-            u, v = u + a, v + z
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows = pa.Table.from_batches(held)
+            key = _keys(rows)
+            whole = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
+            if whole:
+                yield _joined(rows.slice(0, whole), key[:whole])
+                held = rows.slice(whole).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield _joined(rows, _keys(rows))
 
     return dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "u long, v long")
 
