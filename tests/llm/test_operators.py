@@ -281,6 +281,18 @@ def test_secrets_layers(spark):
     assert secrets.find_secrets(made(spark, [])).count() == 0
 
 
+def test_secrets_repeated_layers():
+    """A content gives its spans at each of its places, in one layer or in many."""
+    blob = base64.b64encode(b"hello password: hunter22 zz").decode()
+    packed = base64.b64encode(zlib.compress(b"hello password: hunter22 zz")).decode()
+    outer = [base64.b64encode(f"{side} {blob} {side}".encode()).decode() for side in ("left", "other")]
+    for one, other in ((blob, blob), (packed, packed), (blob, packed), outer, (outer[0], outer[0]), (blob, outer[1])):
+        text = f"abc {one} def {other} ghi"
+        first, second = (secrets.scan(f"{' ' * k}{x}")[1] for k, x in ((4, one), (4 + len(one) + 5, other)))
+        assert first and second and secrets.scan(text)[1] == first + second
+    assert secrets.scan(f"{blob} p%61ssword%3Dhunter22 {blob}")[1] == sorted(x for t in (blob, " " * 37 + "p%61ssword%3Dhunter22", " " * 59 + blob) for x in secrets.scan(t)[1])
+
+
 # 8. simhash
 
 
