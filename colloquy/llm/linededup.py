@@ -89,20 +89,35 @@ def signatures(lines: list[str], width: int = WIDTH) -> np.ndarray:
     return full.reshape(len(lines), _BINS)
 
 
-def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
-    """(lines, BANDS) int64: equal entries in a column are candidates."""
-    sig = signatures(lines, width).reshape(len(lines), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _ODD[6], (len(lines), BANDS)).copy()
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    sig = sig.reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _ODD[6], (len(sig), BANDS)).copy()
     for r in range(ROWS):
         key = _mix((key + sig[:, :, r]) * _ODD[3 if r % 2 else 4])
     # The low bits name the band.
     return ((key & ~np.uint64(15)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def band_keys(lines: list[str], width: int = WIDTH) -> np.ndarray:
+    """(lines, BANDS) int64: equal entries in a column are candidates."""
+    return _band_keys(signatures(lines, width))
+
+
 def sketches(lines: list[str]) -> list[bytes]:
-    """A byte of each bin: lines of Jaccard 0.8 agree in fewer than ``_AGREE``
-    of them with probability 3e-6, so pairs that do are not verified."""
-    return [row.tobytes() for row in _mix(signatures(lines)).astype(np.uint8)] if lines else []
+    """A byte of each bin, then the band keys. Lines of Jaccard 0.8 agree in
+    fewer than ``_AGREE`` of the bytes with probability 3e-6, so pairs that do
+    are not verified; the keys tell in which bands two lines meet."""
+    if not lines:
+        return []
+    sig = signatures(lines)
+    both = np.hstack([_mix(sig).astype(np.uint8), _band_keys(sig).view(np.uint8).reshape(len(lines), 8 * BANDS)])
+    return [row.tobytes() for row in both]
+
+
+def _unpacked(made: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the bins, band keys) of ``sketches``."""
+    both = np.frombuffer(b"".join(made), dtype=np.uint8).reshape(-1, _BINS + 8 * BANDS)
+    return both[:, :_BINS].copy(), both[:, _BINS:].copy().view(np.int64)
 
 
 def shingles(line: str, width: int = WIDTH) -> set[str]:
@@ -197,9 +212,9 @@ class _Bucket:
     Jaccard. A pair is compared in the first band that both lines share, and
     not at all once it is joined."""
 
-    def __init__(self, band: int, name: np.ndarray, block: np.ndarray, sketch: np.ndarray, line: pa.ChunkedArray, across: bool):
+    def __init__(self, band: int, name: np.ndarray, block: np.ndarray, sketch: np.ndarray, keys: np.ndarray, line: pa.ChunkedArray, across: bool):
         order = np.argsort(name, kind="stable")
-        self.name, self.block, self.across, self.sketch = name[order], block[order], across, sketch[order]
+        self.name, self.block, self.across, self.sketch, self.keys = name[order], block[order], across, sketch[order], keys[order]
         self.order, self.line = order.tolist(), line
         self.sets: dict[int, set[str]] = {}
         self.band = band & 15
@@ -217,8 +232,8 @@ class _Bucket:
                 far = far[self.block[far] != self.block[i]]
             if not len(far):
                 continue
-            same = self.sketch[far] == self.sketch[i]
-            far = far[(same.sum(axis=1) >= _AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band)]
+            far = far[(self.sketch[far] == self.sketch[i]).sum(axis=1) >= _AGREE]
+            far = far[(self.keys[far] == self.keys[i]).argmax(axis=1) == self.band]
             for j in far.tolist():
                 if label[j] != label[i] and similar(self._set(i), self._set(j)):
                     label[label == label[j]] = label[i]
@@ -238,10 +253,9 @@ def _joined(rows: pa.Table, key: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     size = np.diff(np.append(first, len(key)))
     name, block = rows.column(3).to_numpy(), rows.column(4).to_numpy()
-    sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)
+    sketch, keys = _unpacked(rows.column(5).to_pylist())
     two = first[size == 2]
-    same = sketch[two] == sketch[two + 1]
-    likely = (same.sum(axis=1) >= _AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == key[two, 0] & 15)
+    likely = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= _AGREE) & ((keys[two] == keys[two + 1]).argmax(axis=1) == key[two, 0] & 15)
     likely &= (key[two, 1] == key[two, 2]) | (block[two] != block[two + 1])
     u, v, line = [], [], rows.column(6)
     for i in two[likely].tolist():
@@ -250,7 +264,7 @@ def _joined(rows: pa.Table, key: np.ndarray) -> pa.RecordBatch:
             v.append(int(name[i + 1]))
     for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         cut = slice(at, at + n)
-        bucket = _Bucket(int(key[at, 0]), name[cut], block[cut], sketch[cut], line.slice(at, n), bool(key[at, 1] != key[at, 2]))
+        bucket = _Bucket(int(key[at, 0]), name[cut], block[cut], sketch[cut], keys[cut], line.slice(at, n), bool(key[at, 1] != key[at, 2]))
         a, z = bucket.links()
         u, v = u + a, v + z
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
