@@ -8,7 +8,10 @@ main element around the core, that whole element is the article; else the
 least density on the path from the core to the body is the threshold that a
 node beside the path must reach to count as text. Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are taken out by
-element, role, class and id before densities are summed.
+element, role, class and id before densities are summed. A class or id counts
+where a listed name is its head ("site-footer", "sidebar-left", but neither
+"has-sidebar" nor "social-impact"), and not on headings and paragraphs. A form
+or a named element that holds the page's article stays: see ``_Page._drop``.
 
 A row needs only its own page: one scan, no shuffle. Unclosed and misnested
 markup is closed as browsers do.
@@ -43,39 +46,67 @@ DROP_NAMES = frozenset(
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing "
     "social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip hidden".split()
 )
+_COMMENT_NAMES = frozenset("comment comments disqus respond replies".split())
+_MODIFIERS = frozenset("has have no not non with without is show hide hides toggle open close closed after before".split())
+_PLACES = frozenset(
+    "area bar bars block blocks body bottom box btn button buttons center column container content footer form group header holder icon icons inner "
+    "item items left link links list lower main panel post posts primary right secondary section slot title top unit upper wrap wrapper zone".split()
+)
+_NO_NAMES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_HARD, _NAMED, _COMMENTS, _FORM = 1, 2, 3, 4
 CLOSED_BY = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
 }
 _STOPS = frozenset("ul ol dl table tr tbody thead tfoot body html article main section div".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME_PARTS = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME_PARTS = re.compile(r"[_-]+")
+
+
+def _named(value: str) -> int:
+    """Whether one of the names of a class or id says that the element is not text."""
+    why = 0
+    for name in value.split():
+        parts = [x for x in _NAME_PARTS.split(name) if x]
+        if not parts or parts[0] in _MODIFIERS:
+            continue
+        while len(parts) > 1 and parts[-1] not in DROP_NAMES and (parts[-1] in _PLACES or parts[-1].isdigit()):
+            parts.pop()
+        if parts[-1] in DROP_NAMES:
+            if parts[-1] not in _COMMENT_NAMES:
+                return _NAMED
+            why = _COMMENTS
+    return why
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
+    """Why the element is taken out, 0 if it is not."""
+    if tag == "form":
+        return _FORM
     if tag in DROP or (tag == "header" and not in_article):
-        return True
+        return _HARD
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs):
-        return True
+        return 0
+    why = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not DROP_NAMES.isdisjoint(_NAME_PARTS.split(value)):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return _HARD
         if name == "role" and value in DROP_ROLES:
-            return True
-        if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            if value != "form":
+                return _HARD
+            why = why or _FORM
+        if name in ("class", "id") and tag not in _NO_NAMES:
+            why = why or _named(value)
+    return why
 
 
 class _Page:
     """Nodes in page order; text pieces with their node and block."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.out, self.inside = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.why, self.inside = ["#root"], [-1], [0], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self.body = 0
         open_nodes, block, at = [0], 0, 0
@@ -113,7 +144,7 @@ class _Page:
             self.tag.append(tag)
             self.parent.append(open_nodes[-1])
             inside = self.inside[open_nodes[-1]]
-            self.out.append(self.out[open_nodes[-1]] or _unwanted(tag, attrs, inside))
+            self.why.append(_unwanted(tag, attrs, inside))
             self.inside.append(inside or tag in ("article", "main"))
             if tag == "body" and not self.body:
                 self.body = node
@@ -121,6 +152,45 @@ class _Page:
                 open_nodes.append(node)
         if at < len(page):
             self.pieces.append((open_nodes[-1], block, page[at:]))
+        self._drop()
+
+    def _drop(self) -> None:
+        """``out``: nodes that are taken out. A form stays that holds an article
+        or main element. If none of these stands outside of what goes by name,
+        the named elements that hold one stay. If the page has none, those stay
+        that hold all h1 there are, and those, but for reader comments, that
+        hold over half of the characters outside of links."""
+        n, why = len(self.tag), self.why
+        hard, soft, link = [False] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            hard[k] = hard[up] or why[k] == _HARD
+            soft[k] = soft[up] or why[k] > _HARD
+            link[k] = link[up] or self.tag[k] == "a"
+        if any(x > _HARD for x in why):
+            core = [self.tag[k] in ("article", "main") and not hard[k] for k in range(n)]
+            head = [self.tag[k] == "h1" and not hard[k] for k in range(n)]
+            free = any(core[k] and not soft[k] for k in range(n))
+            free_head = any(head[k] and not soft[k] for k in range(n))
+            plain = [0] * n
+            for node, _, raw in self.pieces:
+                if not (hard[node] or link[node]):
+                    plain[node] += len(raw.strip())
+            for k in range(n - 1, 0, -1):
+                up = self.parent[k]
+                core[up], head[up], plain[up] = core[up] or core[k], head[up] or head[k], plain[up] + plain[k]
+            for k in range(1, n):
+                if why[k] <= _HARD:
+                    continue
+                if core[0]:
+                    stays = core[k] and (why[k] == _FORM or not free)
+                else:
+                    stays = head[k] and not free_head or why[k] != _COMMENTS and 2 * plain[k] > plain[0]
+                if stays:
+                    why[k] = 0
+        self.out = [False] * n
+        for k in range(1, n):
+            self.out[k] = self.out[self.parent[k]] or why[k] > 0
 
     def _close(self, open_nodes: list[int], tag: str) -> None:
         """End tags that HTML implies before the block ``tag``."""

@@ -239,6 +239,25 @@ def test_html_without_article():
     assert extraction.main_text("<div>" * 3000 + "deep text") == "deep text"
 
 
+def test_html_names_that_do_not_drop():
+    """Names, forms and attribute texts around or in an article lose nothing of it."""
+    inner = """<h1>Title</h1><h2 id="related-work">Related work</h2><p>Some long text that is an article, with words and more words.</p>
+    <h2 id="menu-of-the-day">Menu of the day</h2><p id="notice-period" class="notice">Second paragraph, also long enough to be a real one.</p>
+    <section id="social-impact"><p title="a hidden gem">Third paragraph, as long as the others are and a bit longer.</p></section>"""
+    want = ["Title", "Related work", "Some long text that is an article, with words and more words.", "Menu of the day",
+            "Second paragraph, also long enough to be a real one.", "Third paragraph, as long as the others are and a bit longer."]
+    for outer in ('div class="layout has-sidebar"', 'div class="page no-comments"', 'form action="./page.aspx"', 'div class="widget"', 'div title="a hidden gem"'):
+        for core in ("article", "main", "div"):
+            page = f"<html><body><{outer}><nav><a href=x>One</a></nav><{core}>{inner}</{core}><div class='ad'>Buy this now.</div></{outer.split()[0]}></body></html>"
+            assert extraction.main_text(page).split("\n") == want, (outer, core)
+
+
+def test_html_names_that_drop():
+    for outer in ('class="reader-comments"', 'id="comments-area"', 'class="x sidebar-left"', 'class="cookie-banner"', "hidden", 'class=a hidden=""', 'class="share_buttons"', 'role="navigation"'):
+        page = f"<body><article><h1>Title</h1><p>Some text of the article.</p><div {outer}><article>Not of the article, but far longer than all of its text is.</article></div></article></body>"
+        assert extraction.main_text(page) == "Title\nSome text of the article.", outer
+
+
 # 6. mixing
 
 
