@@ -332,6 +332,31 @@ def test_secrets_repeated_layers():
     assert secrets.scan(f"{blob} p%61ssword%3Dhunter22 {blob}")[1] == sorted(x for t in (blob, " " * 37 + "p%61ssword%3Dhunter22", " " * 59 + blob) for x in secrets.scan(t)[1])
 
 
+def test_secrets_partial_layers():
+    """Bytes that are no text, other alignments, wrapped lines and large layers lose no secret."""
+    import bz2
+    import gzip
+    import lzma
+    import textwrap
+
+    rng = random.Random(8)
+    b64 = lambda x: base64.b64encode(x).decode()
+    plain = b"hello password: hunter22 zz"
+    noise = bytes(rng.randrange(256) for _ in range(300))
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(plain) + raw.flush()
+    long = "".join(rng.choice("abcdefgh ,") for _ in range(60000)).encode()
+    texts = [b64(x + plain + y) for x, y in ((b"\xff", b""), (b"", b"\0"), (b"\x0c", b"\x1b"), (noise, noise))]
+    texts += [b64(plain.decode().encode(code)) for code in ("utf-16-le", "utf-16-be", "utf-16")]
+    texts += [f"{head}{b64(x)}" for head in ("/files/", "blob_", "x-", "k") for x in (plain, zlib.compress(plain), gzip.compress(plain))]
+    texts += ["\n".join(textwrap.wrap(b64(b"a" * k + plain), 64)) for k in range(20, 60, 7)]
+    texts += ["\r\n  ".join(textwrap.wrap(b64(pack(noise + plain + noise)), 76)) for pack in (zlib.compress, gzip.compress, bz2.compress, lzma.compress)]
+    texts += [b64(raw), b64(zlib.compress(long + plain + long)), b64(bz2.compress(long + plain + long)), b64(zlib.compress(plain + long)[:-9])]
+    for k, text in enumerate(texts):
+        got = secrets.scan(f"abc {text} def", 50000)[1]
+        assert any(kind == 0 for _, _, kind, _ in got) and all(4 <= s < e <= 4 + len(text) for s, e, _, _ in got), (k, text[:80])
+
+
 # 8. simhash
 
 
