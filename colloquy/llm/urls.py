@@ -44,20 +44,34 @@ ALLOWED_HOSTS = (
     "books.example", "blog.kitchen.example", "www.forest.example", "mountain.example", "river.example", "health.example", "city-council.example",
     "theatre.example", "thermal.example", "m.other-things.example", "blog.nations.example", "www.motion.example", "therapy.example",
     "thereon.example", "action.example", "earth.example", "letters.example", "northern.example", "m.station.example",
-    "thther.example.com", "ththis.example.net", "m.ththor.example.com", "ththone.example.net", "www.thand.example.com", "tionth.example.net",
-    "ththink.example.com", "thathe.example.net", "www.thblem.example.com", "thnder.example.net", "ththat.example.com", "m.thheat.example.net",
-    "www.ererth.example.com", "eronth.example.net", "inthth.example.com", "m.anthth.example.net", "ththre.example.net", "www.ththti.example.net",
 )
 PATHS = ("/en/12.html", "/fr/7", "/de/301/", "/es/45", "/article/2020/01", "/")
+#: Hosts that say nothing, and the paths that make the class there.
+MIXED_HOSTS = ("files.example", "www.portal.example", "pages.example", "my-site.example", "m.service.example", "home.example")
+BLOCKED_PATHS = (
+    "/casino/bonus", "/online-casino.html", "/win/casino-slots", "/buy-pills", "/cheap/pills.html", "/pills/viagra", "/viagra-online", "/shop/cheap-meds",
+    "/free-money", "/payday-loan/apply", "/loans/fast", "/porn/videos", "/adult/chat", "/sex-cams/live", "/poker/free-bets", "/bets/slots",
+    "/replica-watches", "/warez/crack.zip", "/torrent/pirate", "/ads/click?x", "/track/click.php", "/spam/offers", "/lottery-win", "/phish/login-verify",
+)
+ALLOWED_PATHS = (
+    "/article/garden-in-spring", "/news/2021/council-vote.html", "/library/opening-hours", "/recipes/bread", "/blog/a-walk-in-the-forest", "/history/chapter-3",
+    "/science/river-fish.html", "/books/review/12", "/travel/mountain-huts", "/music/concert-notes", "/museum/visit", "/school/timetable",
+    "/weather/today", "/health/sleep", "/about", "/contact.html", "/docs/guide/install", "/wiki/Castle", "/events/theatre", "/en/story/7",
+    "/fr/histoire/4", "/de/artikel/19", "/es/noticias/2", "/kitchen/soup",
+)
 BITS = 13
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default training table: each host with two of the neutral paths."""
+    """The default training table: each host with two of the neutral paths,
+    and each path that makes the class on two of the mixed hosts."""
     rows = []
     for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
         for i, host in enumerate(hosts):
             rows += [(f"http://{host}{PATHS[(i + k) % len(PATHS)]}", label) for k in (0, 3)]
+    for label, paths in ((1, BLOCKED_PATHS), (0, ALLOWED_PATHS)):
+        for i, path in enumerate(paths):
+            rows += [(f"http://{MIXED_HOSTS[(i + k) % len(MIXED_HOSTS)]}{path}", label) for k in (0, 3)]
     return rows
 
 

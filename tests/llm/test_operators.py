@@ -212,6 +212,15 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_judged_by_path(spark):
+    """On hosts that are not in the training table the path makes the class."""
+    bad, good = ("/casino/play", "/buy/cheap-pills", "/viagra-pills.html", "/adult/porn"), ("/article/river-walk", "/news/2022/school.html", "/library/books", "/recipes/soup")
+    rows = [f"http://{host}{path}" for host in ("www.quarto.example", "zumbel.example.net") for path in bad + good]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == (["block"] * 4 + ["allow"] * 4) * 2
+
+
 # 5. html
 
 
