@@ -1,23 +1,28 @@
 """Benchmark decontamination under edit distance.
 
 A document holds an item if some stretch of its words is within ``1 - likeness``
-times the item's words of the item, in word edits. Candidates are windows of
-the item's size. CGK embedding walks a window: at each of 3n steps it writes the
-word that it stands on, and a random bit of (step, word) says whether to go on
-to the next; windows at a small edit distance so become sequences at a small
-Hamming distance. Bit-sampling LSH compares a few sampled steps at a time; the
-number of repetitions follows from the wanted recall, measured on random edits
-of the items themselves. What collides is verified by exact edit distance
-against the text around the window.
-
-Windows are only embedded near a piece of an item that the text holds word for
-word. With k edits allowed an item is cut into k + 1 pieces, of which one
-must be untouched, so this loses nothing.
-
-The items are the query set: broadcast in blocks of at most ``block_items``,
-each against all rows, so neither the broadcast nor a task grows with either
-table. A row needs only its own text: no shuffle, and a hot source or a group
-of copies is only rows.
+times the item's words of the item, in word edits. Every place of every text
+begins a window of the item's size. CGK embedding walks a window: at each step
+it writes the word that it stands on, and a random bit of (step, word) says
+whether to go on to the next; stretches at a small edit distance so become
+sequences at a small Hamming distance. Bit-sampling LSH looks up a few sampled
+steps at a time in a table of the items' walks. A repetition has coins and
+steps of its own; repetitions are added until randomly edited items, with as
+many edits as are allowed, are found with the wanted recall, or the build
+fails. What collides is verified by exact edit distance against the text
+around the window. Nothing else leads to a verification; before it, windows
+with too few of the item's words for the allowed edits are left out, which
+loses nothing.
+
+Items of like sizes (within a factor of 1.4) share sampled steps, all below 1.5
+times the least size, where most walks are still inside the item. A walk from
+place p at step t only depends on (p, t), so keys of all windows come from one
+backward pass over the steps on whole arrays, a block of places at a time.
+
+The items are the query set: each text once, broadcast in blocks of about
+``block_items``, each against all rows, so neither the broadcast nor a task
+grows with either table. A row needs only its own text: no shuffle of
+documents, and a hot source or a group of copies is only rows.
 
 Defined results: null text or item is empty; an empty item matches nothing, an
 item of under five words only exactly; null doc_ids are carried through;
@@ -29,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,42 +42,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = re.compile(r"\w+")
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+_SLOT = 4  # steps out of which one is sampled
+_SEED = 5
 
 
 def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def _coin(step: int, word: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """A fair bit of (repetition, step, word)."""
-    h = (word.astype(np.uint64) + turn * _ODD[0]) * _ODD[1] + np.uint64(step * int(_ODD[2]) % (1 << 64))
-    h = (h ^ (h >> np.uint64(31))) * _ODD[3]
-    return ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-
-
-def embed(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """CGK walks over windows ``flat[start : start + length]``.
-
-    ``samples`` (repetitions, bits) in [0, 1) are sampled steps as a share of the
-    3n. Gives keys (repetitions, windows): the sampled words' hash.
-    """
-    turns, bits = samples.shape
-    at = np.zeros((turns, len(starts)), dtype=np.int64)
-    keys = np.zeros((turns, len(starts)), dtype=np.uint64)
-    turn = np.arange(turns, dtype=np.uint64)[:, None]
-    wanted = (samples[:, :, None] * (3 * lengths)[None, None, :]).astype(np.int64)
-    last = int(wanted.max()) if wanted.size else -1
-    limit = len(flat) - 1
-    for step in range(last + 1):
-        inside = at < lengths[None, :]
-        word = np.where(inside, flat[np.minimum(starts[None, :] + at, limit)], -1)
-        for b in range(bits):
-            hit = wanted[:, b, :] == step
-            if hit.any():
-                keys = np.where(hit, (keys ^ ((word + 2).astype(np.uint64) * _ODD[(b + 1) % 4])) * _ODD[b % 4], keys)
-        at += _coin(step, word + 2, turn)
-    return keys ^ (keys >> np.uint64(29))
+def coins(turn: int, n_words: int, steps: int) -> np.ndarray:
+    """(steps / 8, words) uint8: a fair bit of (repetition, step, word)."""
+    return np.random.default_rng([_SEED, turn]).integers(0, 256, (steps // 8 + 1, n_words), dtype=np.uint8)
+
+
+def sampled_steps(least: int, turn: int, bits: int) -> list[int]:
+    """Ascending steps of a repetition, one of each of ``bits`` slots in a row
+    that begin anywhere below 1.5 times the least size."""
+    span = max(1, 3 * least // 2)
+    draw = np.random.default_rng([_SEED, turn, least])
+    stretch = min(span, _SLOT * bits)
+    begin = int(draw.integers(0, span - stretch + 1))
+    return [begin + int((i + draw.random()) * stretch / bits) for i in range(bits)]
+
+
+def _with(keys: np.ndarray, word: np.ndarray, nth: int) -> np.ndarray:
+    return (keys ^ (word.astype(np.uint32) * _ODD[0])) * _ODD[1 + nth % 3]
+
+
+def walk(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, coin: np.ndarray, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, valid) of the windows ``flat[start:end]``, one step at a time;
+    not valid where a sampled step lies past a window's end."""
+    at, seen, valid = starts.copy(), [], np.ones(len(starts), dtype=bool)
+    for t in range(steps[-1] + 1):
+        inside = at < ends
+        word = np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0)
+        for s in steps:
+            if s == t:
+                seen.append(word)
+                valid &= inside
+        at = at + ((coin[t >> 3, word] >> np.uint8(t & 7)) & 1)
+    keys = np.zeros(len(starts), dtype=np.uint32)
+    for nth in range(len(steps) - 1, -1, -1):
+        keys = _with(keys, seen[nth], nth)
+    return keys, valid
+
+
+def walk_all(coded: np.ndarray, thrown: list[np.ndarray], steps: list[int]) -> np.ndarray:
+    """``walk`` from every place of ``coded`` but the last ``steps[-1]``.
+    ``thrown`` holds the coins of eight steps at each place."""
+    last, nth, n = steps[-1], len(steps) - 1, len(coded)
+    keys, other, go, bit = np.zeros(n, dtype=np.uint32), np.empty(n, dtype=np.uint32), np.empty(n, dtype=bool), np.empty(n, dtype=np.uint8)
+    for t in range(last, -1, -1):
+        if t < last:
+            n -= 1
+            np.bitwise_and(thrown[t >> 3][:n], np.uint8(1 << (t & 7)), out=bit[:n])
+            np.not_equal(bit[:n], 0, out=go[:n])
+            np.bitwise_xor(keys[1 : n + 1], keys[:n], out=other[:n])
+            np.multiply(other[:n], go[:n], out=other[:n])
+            np.bitwise_xor(other[:n], keys[:n], out=other[:n])
+            keys, other = other, keys
+        while nth >= 0 and steps[nth] == t:
+            keys[:n] = _with(keys[:n], coded[:n], nth)
+            nth -= 1
+    return keys[:n]
 
 
 def distance_within(item: list, text: list, most: int) -> tuple[int, int, int] | None:
@@ -96,169 +129,198 @@ def distance_within(item: list, text: list, most: int) -> tuple[int, int, int] |
     return (row[end], begin[end], end) if row[end] <= most else None
 
 
+def _edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> list[int]:
+    """``item`` after random word edits; 0 is a word that no item has."""
+    out = item.tolist()
+    for _ in range(edits):
+        at, kind = int(draw.integers(0, max(len(out), 1))), draw.integers(0, 3)
+        if kind == 0 and out:
+            out[at] = 0
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, 0)
+    return out
+
+
+@dataclass
+class Sizes:
+    """Items of like sizes with the LSH table of each of their repetitions."""
+
+    least: int
+    members: np.ndarray
+    tables: list[tuple[list[int], np.ndarray, np.ndarray]]  # steps, sorted keys, their items
+    recall: float
+
+
 @dataclass
 class Index:
-    """A block of items, ready to broadcast."""
+    """A block of items, ready to broadcast. Coins are drawn again by tasks."""
 
     ids: list
     items: list[np.ndarray]
     allowed: list[int]
     number: dict[str, int]
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> hash, item, offset
-    samples: np.ndarray
-    keys: np.ndarray
-
-
-def _rolled(w: np.ndarray, size: int) -> np.ndarray:
-    h = np.zeros(max(len(w) - size + 1, 0), dtype=np.uint64)
-    for k in range(size):
-        h = (h ^ w[k : len(w) - size + 1 + k].astype(np.uint64)) * _ODD[0]
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
-    out = item.tolist()
-    for _ in range(edits):
-        at = int(draw.integers(0, max(len(out), 1)))
-        kind = draw.integers(0, 3)
-        if kind == 0 and out:
-            out[min(at, len(out) - 1)] = 0
-        elif kind == 1 and len(out) > 1:
-            del out[min(at, len(out) - 1)]
-        else:
-            out.insert(at, 0)
-    out = out[: len(item)] + [0] * max(0, len(item) - len(out))
-    return np.array(out, dtype=np.int64)
-
-
-def repetitions(items: list[np.ndarray], allowed: list[int], bits: int, recall: float, most: int = 64, seed: int = 5) -> np.ndarray:
-    """Sampled steps; as many repetitions as bring the pairs of an item and a
-    window at the largest allowed distance to ``recall``, as measured."""
-    draw = np.random.default_rng(seed)
-    samples = draw.random((most, bits))
-    some = [i for i in draw.permutation(len(items))[:64]]
-    pairs = [(items[i], _edited(items[i], allowed[i], draw)) for i in some for _ in range(4)]
-    if not pairs:
-        return samples[:1]
-    lengths = np.array([len(a) for a, _ in pairs])
-    starts = np.cumsum(lengths) - lengths
-    same = embed(np.concatenate([a for a, _ in pairs]), starts, lengths, samples) == embed(np.concatenate([b for _, b in pairs]), starts, lengths, samples)
-    found = np.logical_or.accumulate(same, axis=0).mean(axis=1)
-    enough = np.flatnonzero(found >= recall)
-    return samples[: int(enough[0]) + 1] if len(enough) else samples
-
-
-def build(rows: list[tuple], likeness: float = 0.8, bits: int = 2, recall: float = 0.99) -> Index:
+    groups: list[Sizes]
+    drawn: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"drawn": {}}
+
+    def coins(self, turn: int) -> np.ndarray:
+        if turn not in self.drawn:
+            self.drawn[turn] = coins(turn, len(self.number) + 1, max((s[-1] for g in self.groups for s, _, _ in g.tables), default=0))
+        return self.drawn[turn]
+
+    def present(self, group: int, turn: int) -> np.ndarray:
+        """Flags of the low 18 bits of a table's keys."""
+        if (group, turn) not in self.drawn:
+            flags = np.zeros(1 << 18, dtype=bool)
+            flags[self.groups[group].tables[turn][1] & 0x3FFFF] = True
+            self.drawn[group, turn] = flags
+        return self.drawn[group, turn]
+
+
+def fitted(items: list[np.ndarray], allowed: list[int], members: np.ndarray, n_words: int, bits: int, recall: float, most: int = 1024, tries: int = 256) -> Sizes:
+    """The tables of one group of sizes: repetitions are added until edited
+    copies of its items collide with them with ``recall``."""
+    least, widest = min(len(items[i]) for i in members), max(len(items[i]) for i in members)
+    slack = max(allowed[i] for i in members)
+    draw = np.random.default_rng([_SEED, least])
+    room = 3 * least // 2 + slack + 8
+    of, parts = [], []
+    for k in range(tries):
+        i = members[int(draw.integers(0, len(members)))] if k >= len(members) else members[k]
+        of.append(int(np.searchsorted(members, i)))
+        made = _edited(items[i], allowed[i], draw)
+        parts.append([0] * slack + made + [0] * (room + widest + slack - len(made)))
+    width = room + widest + 2 * slack
+    copies = np.array(parts, dtype=np.int64).ravel()
+    flat = np.concatenate([items[i] for i in members])
+    ends = np.cumsum([len(items[i]) for i in members])
+    starts = ends - np.array([len(items[i]) for i in members])
+    tables, found, turn = [], np.zeros(tries, dtype=bool), 0
+    while found.mean() < recall:
+        if turn == most:
+            raise ValueError(f"recall {found.mean():.3f} after {most} repetitions; {recall} is wanted")
+        steps = sampled_steps(least, turn, bits)
+        coin = coins(turn, n_words, 3 * least // 2)
+        keys, valid = walk(flat, starts, ends, coin, steps)
+        windows = walk_all(copies, [c[copies] for c in coin], steps)
+        windows = np.append(windows, np.zeros(len(copies) - len(windows), dtype=np.uint32)).reshape(tries, width)
+        found |= (windows[:, : 2 * slack + 1] == keys[of][:, None]).any(axis=1) & valid[of]
+        order = np.argsort(keys[valid], kind="stable")
+        tables.append((steps, keys[valid][order], members[valid][order]))
+        turn += 1
+    return Sizes(least, members, tables, float(found.mean()))
+
+
+def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float = 0.95) -> Index:
     number: dict[str, int] = {}
     ids, items, allowed = [], [], []
-    pieces: dict[int, list[tuple[int, int, int]]] = {}
     for item_id, text in rows:
-        w = words(text)
-        if not w:
-            continue
-        coded = np.array([number.setdefault(x, len(number) + 1) for x in w], dtype=np.int64)
-        k = int((1 - likeness) * len(w) + 1e-9)
-        cuts = [len(w) * j // (k + 1) for j in range(k + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            pieces.setdefault(b - a, []).append((int(_rolled(coded[a:b], b - a)[0]), len(items), a))
-        ids.append(item_id)
-        items.append(coded)
-        allowed.append(k)
-    table = {}
-    for size, found in pieces.items():
-        h, i, a = np.array([x[0] for x in found], dtype=np.uint64), np.array([x[1] for x in found]), np.array([x[2] for x in found])
-        order = np.argsort(h, kind="stable")
-        table[size] = (h[order], i[order], a[order])
-    samples = repetitions(items, allowed, bits, recall)
-    lengths = np.array([len(x) for x in items], dtype=np.int64)
-    keys = embed(np.concatenate(items), np.cumsum(lengths) - lengths, lengths, samples) if items else np.zeros((len(samples), 0), dtype=np.uint64)
-    return Index(ids, items, allowed, number, table, samples, keys)
-
-
-def _hits(index: Index, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, window start) of pieces that ``coded`` holds word for word."""
-    item_of, start_of = [], []
-    known = np.append(0, np.cumsum(coded > 0))
-    for size, (hashes, item, offset) in index.pieces.items():
-        if len(coded) < size:
-            continue
-        place = np.flatnonzero(known[size:] - known[:-size] == size)  # every word is an item's
-        if not len(place):
-            continue
-        h = np.zeros(len(place), dtype=np.uint64)
-        for k in range(size):
-            h = (h ^ coded[place + k].astype(np.uint64)) * _ODD[0]
-            h ^= h >> np.uint64(32)
-        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        count = high - low
-        of = np.repeat(np.arange(len(place)), count)
-        entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(of))
-        item_of.append(item[entry])
-        start_of.append(place[of] - offset[entry])
-    if not item_of:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(item_of), np.concatenate(start_of)
-
-
-def search(index: Index, texts: list[str], block: int = 4096) -> list[tuple[int, int, int, int, int]]:
+        if w := words(text):
+            ids.append(item_id)
+            items.append(np.array([number.setdefault(x, len(number) + 1) for x in w], dtype=np.int64))
+            allowed.append(int((1 - likeness) * len(w) + 1e-9))
+    lengths, groups = np.array([len(x) for x in items], dtype=np.int64), []
+    left = np.unique(lengths)
+    while len(left):
+        like = left[left <= 1.4 * left[0]]
+        groups.append(fitted(items, allowed, np.flatnonzero(np.isin(lengths, like)), len(number) + 1, bits, recall))
+        left = left[len(like) :]
+    return Index(ids, items, allowed, number, groups)
+
+
+def candidates(index: Index, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) where a window's walk and an item's collide."""
+    place, item = [], []
+    thrown: dict[int, list[np.ndarray]] = {}
+    for g, group in enumerate(index.groups):
+        for turn, (steps, keys, members) in enumerate(group.tables):
+            if len(coded) <= steps[-1] or not len(keys):
+                continue
+            have, coin = thrown.setdefault(turn, []), index.coins(turn)
+            while len(have) <= steps[-1] >> 3:
+                have.append(coin[len(have)].take(coded, mode="clip"))
+            got = walk_all(coded, have, steps)
+            at = np.flatnonzero(index.present(g, turn).take(got & np.uint32(0x3FFFF), mode="clip"))
+            low, high = np.searchsorted(keys, got[at], "left"), np.searchsorted(keys, got[at], "right")
+            count = high - low
+            of = np.repeat(np.arange(len(at)), count)
+            place.append(at[of])
+            item.append(members[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(of))])
+    both = np.unique(np.column_stack([np.concatenate(item), np.concatenate(place)]), axis=0) if place else np.zeros((0, 2), dtype=np.int64)
+    return both[:, 1], both[:, 0]
+
+
+def _rich(index: Index, coded: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether the words around a place are enough of the item's, sorted by item."""
+    ok, marked = np.zeros(len(place), dtype=bool), np.zeros(len(index.number) + 1, dtype=bool)
+    for i, first in zip(*np.unique(item, return_index=True), strict=True):
+        last = int(np.searchsorted(item, i, "right"))
+        w, k = index.items[i], index.allowed[i]
+        marked[w] = True
+        span = np.arange(-2 * k, len(w) + 2 * k)
+        for at in range(int(first), last, 4096):
+            near = place[at : min(at + 4096, last), None] + span
+            ok[at : at + len(near)] = marked[coded[np.clip(near, 0, len(coded) - 1)]].sum(axis=1) >= len(w) - k
+        marked[w] = False
+    return ok
+
+
+def search(index: Index, texts: list[str], block: int = 1 << 16) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) by word positions: an item's nearest
     stretch in each text, if it is within the item's allowed edits."""
-    number = index.number
+    number, slack = index.number, max(index.allowed, default=0)
     tokens = [[number.get(w, 0) for w in words(t)] for t in texts]
-    widest = max(map(len, index.items), default=0)
-    gap = [0] * (2 * widest + 2)  # no window spans two texts
+    room = max((s[-1] for g in index.groups for s, _, _ in g.tables), default=0)
     first, flat = [], []
     for w in tokens:
+        flat += [0] * slack  # windows may begin before the text
         first.append(len(flat))
         flat += w
-        flat += gap
-    coded = np.array(flat, dtype=np.int64)
-    item, start = _hits(index, coded)
-    if not len(item):
-        return []
-    size, slack = np.array([len(x) for x in index.items]), np.array(index.allowed)
-    owner = np.searchsorted(first, start + size[item] // 2, side="right") - 1
-    # Edits before the piece shift the window by at most the allowed number.
-    shift = slack[item]
-    count = 2 * shift + 1
-    of = np.repeat(np.arange(len(item)), count)
-    moved = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) - shift[of]
-    triple = np.unique(np.column_stack([owner[of], item[of], moved]), axis=0)
-    triple = triple[(triple[:, 2] > -widest) & (triple[:, 0] >= 0)]
-    padded = np.concatenate([np.zeros(widest, dtype=np.int64), coded, np.zeros(widest, dtype=np.int64)])
-    near = []
-    for at in range(0, len(triple), block):
-        part = triple[at : at + block]
-        keys = embed(padded, part[:, 2] + widest, size[part[:, 1]], index.samples)
-        near.append(part[(keys == index.keys[:, part[:, 1]]).any(axis=0)])
-    near = np.concatenate(near)
+    coded = np.array(flat + [0] * (room + 1), dtype=np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    known: dict[tuple, tuple | None] = {}
     done = set()
-    # One verification serves windows that begin within the slack of it.
-    for o, i, s in near.tolist():
-        k, n, text = index.allowed[i], len(index.items[i]), tokens[o]
-        at = s - first[o]
-        region = at // (k + 1)
-        if (o, i, region) in done:
-            continue
-        done.add((o, i, region))
-        lo, hi = max(0, region * (k + 1) - 2 * k), min(len(text), (region + 1) * (k + 1) + n + 2 * k)
-        got = distance_within(index.items[i].tolist(), text[lo:hi], k)
-        if got:
-            answer = (got[0], lo + got[1], lo + got[2])
-            if (o, i) not in best or answer < best[(o, i)]:
-                best[(o, i)] = answer
+    for begin in range(0, len(flat), block):
+        part = coded[begin : begin + block + room]
+        place, item = candidates(index, part)
+        inside = place < block
+        place, item = place[inside] + begin, item[inside]
+        ok = _rich(index, coded, place, item)
+        place, item = place[ok], item[ok]
+        owner = np.maximum(np.searchsorted(first, place + slack, side="right") - 1, 0)
+        # One verification serves windows that begin within the slack of it.
+        for o, i, s in zip(owner.tolist(), item.tolist(), place.tolist(), strict=True):
+            k, n, text = index.allowed[i], len(index.items[i]), tokens[o]
+            region = (s - first[o]) // (k + 1)
+            if (o, i, region) in done:
+                continue
+            done.add((o, i, region))
+            lo, hi = max(0, region * (k + 1) - 2 * k), min(len(text), (region + 1) * (k + 1) + n + 2 * k)
+            key = (i, *text[lo:hi])
+            if key not in known:  # passages repeat
+                known[key] = distance_within(index.items[i].tolist(), text[lo:hi], k)
+            if got := known[key]:
+                answer = (got[0], lo + got[1], lo + got[2])
+                if (o, i) not in best or answer < best[(o, i)]:
+                    best[(o, i)] = answer
     return [(o, i, *answer) for (o, i), answer in sorted(best.items())]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("item")).withColumn("item_key", F.md5("item"))
+
+
 def _indexes(docs: DataFrame, benchmark: DataFrame, likeness: float, recall: float, block_items: int) -> Iterator:
-    """Blocks of the items, broadcast one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    """Blocks of the item texts, broadcast one after the other."""
+    items = _items(benchmark).groupBy("item_key").agg(F.first("item").alias("item"))
     blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
-        part = items.where(F.expr(f"pmod(xxhash64(item), {blocks}) = {block}")) if blocks > 1 else items
-        rows = sorted(((r["item_id"], r["item"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        part = items.where(F.expr(f"pmod(xxhash64(item_key), {blocks}) = {block}")) if blocks > 1 else items
+        rows = sorted((r["item_key"], r["item"]) for r in part.collect())
         yield docs.sparkSession.sparkContext.broadcast(build(rows, likeness, recall=recall))
 
 
@@ -274,24 +336,25 @@ def _found(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
             held, at, chars = [], i + 1, 0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.99, block_items: int = 20000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.95, block_items: int = 5000) -> DataFrame:
     """(doc_id, item_id, edits, start_word, end_word): a row for each item
     that a document holds."""
     asked, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for index in _indexes(docs, benchmark, likeness, recall, block_items):
 
         def batches(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             for b in it:
                 rows = [(b.column(0)[o].as_py(), index.value.ids[k], e, s, t) for o, k, e, s, t in _found(index.value, b.column(1))]
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "item_id", "edits", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["doc_id", "item_key", "edits", "start_word", "end_word"])
 
-        found = asked.mapInArrow(batches, "doc_id long, item_id long, edits long, start_word long, end_word long")
+        found = asked.mapInArrow(batches, "doc_id long, item_key string, edits long, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(_items(benchmark).select("item_id", "item_key"), "item_key").select("doc_id", "item_id", "edits", "start_word", "end_word")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.99, block_items: int = 20000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.95, block_items: int = 5000) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item. Each row
     is judged by its own text where it is read; nothing is shuffled."""
     at = docs.columns.index("text")

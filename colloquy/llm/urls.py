@@ -3,10 +3,10 @@
 The regression sees hashed character n-grams of host and path and is trained
 on the driver from a small labelled table, which is a parameter with a default
 below (so its size is bounded by what the caller writes down). Its weights are
-a fixed 2**13 numbers. A row needs only its own url: one scan, no shuffle.
+a fixed 2**14 numbers. A row needs only its own url: one scan, no shuffle.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
-no rule and the method's verdict on nothing, ``allow``; repeated rows repeat;
+no rule and the model's verdict on no n-grams; repeated rows repeat;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,49 +29,55 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: Host names that were labelled by hand for training.
-BLOCKED_HOSTS = (
-    "spam-offers.example", "www.spam-central.example", "buy-cheap-pills.example", "pills-online.example", "cheap-meds.example",
-    "casino-royal.example", "m.win-casino.example", "online-casino.example", "free-bets-now.example", "bets-club.example",
-    "adult-videos.example", "www.adult-chat.example", "x-adult.example", "ads-server.example", "track-ads.example", "click-track.example",
-    "ad-farm.example", "link-farm.example", "spam-links.example", "porn-tube.example", "sex-cams.example", "viagra-shop.example",
-    "loan-fast.example", "payday-loans.example", "replica-watches.example", "warez-crack.example", "free-money.example", "lottery-win.example",
-    "poker-slots.example", "malware-drop.example", "phish-login.example", "torrent-pirate.example",
+#: Names and paths labelled by hand for training.
+BLOCKED_NAMES = (
+    "spam-offers", "spam-central", "link-spam", "spamfarm", "link-farm", "content-farm", "buy-cheap-pills", "cheap-meds", "pills-online", "diet-pills",
+    "viagra-shop", "casino-royal", "win-casino", "online-casino", "casino-slots", "big-win", "free-bets-now", "bets-club", "sports-bet", "free-money",
+    "adult-videos", "adult-chat", "x-adult", "porn-tube", "sex-cams", "ads-server", "track-ads", "click-track", "ad-farm", "adtracker",
+    "loan-fast", "payday-loans", "replica-watches", "warez-crack", "lottery-win", "poker-slots", "malware-drop", "phish-login", "torrent-pirate", "cheap-replica",
+    "porn-stars", "pornvideos", "payday-cash", "slots-online", "viagra-now", "sexchat", "bets-today", "warez-world", "x-casino", "hot-pills",
 )
-ALLOWED_HOSTS = (
-    "news.example", "www.daily-herald.example", "library.example", "museum.example", "school.example", "university.example",
-    "blog.garden.example", "m.weather.example", "recipes.example", "travel.example", "history.example", "science.example", "music.example",
-    "books.example", "blog.kitchen.example", "www.forest.example", "mountain.example", "river.example", "health.example", "city-council.example",
-    "theatre.example", "thermal.example", "m.other-things.example", "blog.nations.example", "www.motion.example", "therapy.example",
-    "thereon.example", "action.example", "earth.example", "letters.example", "northern.example", "m.station.example",
+ALLOWED_NAMES = (
+    "news", "daily-herald", "library", "museum", "school", "university", "garden", "weather", "recipes", "travel", "history", "science", "music", "books",
+    "kitchen", "forest", "mountain", "river", "health", "city-council", "theatre", "therapy", "letters", "northern", "station", "bakery", "painting",
+    "orchestra", "gazette", "village", "harbour", "research", "institute", "parliament", "football-club", "chess", "astronomy", "geology", "poetry",
+    "novels", "cinema", "archive", "farmers-market", "windows", "winter", "spring", "betty-knits", "address-book", "adventure", "cheese", "trackside",
+    "pillow-talk", "clinic", "observatory", "translation", "education", "action", "nation", "earth", "ocean", "birds", "hiking", "cycling", "railway",
+    "bridge", "castle", "cathedral", "pottery", "weaving", "carpenter", "lantern", "compass", "journal", "quarterly", "review", "society", "academy", "college",
+    "essex-county", "sussex-walks",
 )
-PATHS = ("/en/12.html", "/fr/7", "/de/301/", "/es/45", "/article/2020/01", "/")
-#: Hosts that say nothing, and the paths that make the class there.
-MIXED_HOSTS = ("files.example", "www.portal.example", "pages.example", "my-site.example", "m.service.example", "home.example")
+PREFIXES = ("", "www.", "m.", "blog.")
+SUFFIXES = (".example", ".example.com", ".example.net", ".example.org", ".com", ".net", ".org")
+#: Paths that say nothing, and hosts that do not.
+PATHS = ("/en/12.html", "/fr/7", "/de/301/", "/es/45", "/article/2020/01", "/", "", "/en/4418/", "/fr/905.html")
+MIXED_NAMES = ("files", "portal", "pages", "my-site", "service", "home", "cloud", "users")
 BLOCKED_PATHS = (
     "/casino/bonus", "/online-casino.html", "/win/casino-slots", "/buy-pills", "/cheap/pills.html", "/pills/viagra", "/viagra-online", "/shop/cheap-meds",
     "/free-money", "/payday-loan/apply", "/loans/fast", "/porn/videos", "/adult/chat", "/sex-cams/live", "/poker/free-bets", "/bets/slots",
-    "/replica-watches", "/warez/crack.zip", "/torrent/pirate", "/ads/click?x", "/track/click.php", "/spam/offers", "/lottery-win", "/phish/login-verify",
+    "/replica-watches", "/warez/crack.zip", "/torrent/pirate", "/ads/click", "/track/click.php", "/spam/offers", "/lottery-win", "/phish/login-verify",
 )
 ALLOWED_PATHS = (
     "/article/garden-in-spring", "/news/2021/council-vote.html", "/library/opening-hours", "/recipes/bread", "/blog/a-walk-in-the-forest", "/history/chapter-3",
     "/science/river-fish.html", "/books/review/12", "/travel/mountain-huts", "/music/concert-notes", "/museum/visit", "/school/timetable",
     "/weather/today", "/health/sleep", "/about", "/contact.html", "/docs/guide/install", "/wiki/Castle", "/events/theatre", "/en/story/7",
-    "/fr/histoire/4", "/de/artikel/19", "/es/noticias/2", "/kitchen/soup",
+    "/fr/histoire/4", "/de/artikel/19", "/es/noticias/2", "/kitchen/soup", "/winter/window-boxes", "/members/address", "/photos/adventure", "/cheese/tasting",
+    "/railway/track-plan", "/poetry/better-days", "/index.html", "/archive/1999",
 )
-BITS = 13
+BITS = 14
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default training table: each host with two of the neutral paths,
-    and each path that makes the class on two of the mixed hosts."""
-    rows = []
-    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
-        for i, host in enumerate(hosts):
-            rows += [(f"http://{host}{PATHS[(i + k) % len(PATHS)]}", label) for k in (0, 3)]
+    """The default training table. Every name stands before every suffix, the
+    prefixes and neutral paths in turn, so that these tell nothing; every path
+    that makes the class stands on mixed hosts of each suffix
+    as well. More urls are allowed than blocked."""
+    rows, n = [], len(SUFFIXES)
+    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
+        for i, name in enumerate(names):
+            rows += [(f"http://{PREFIXES[(i + k) % len(PREFIXES)]}{name}{SUFFIXES[k]}{PATHS[(i + 2 * k) % len(PATHS)]}", label) for k in range(n)]
     for label, paths in ((1, BLOCKED_PATHS), (0, ALLOWED_PATHS)):
         for i, path in enumerate(paths):
-            rows += [(f"http://{MIXED_HOSTS[(i + k) % len(MIXED_HOSTS)]}{path}", label) for k in (0, 3)]
+            rows += [(f"http://{PREFIXES[(i + k) % len(PREFIXES)]}{MIXED_NAMES[(i + k) % len(MIXED_NAMES)]}{SUFFIXES[(i + k) % n]}{path}", label) for k in range(n)]
     return rows
 
 
@@ -96,19 +102,28 @@ def grams(host: str, path: str, least: int = 3, most: int = 5) -> np.ndarray:
     return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
+def fit(rows: list[tuple[str, int]], rounds: int = 600, rate: float = 0.5, ridge: float = 3e-4) -> np.ndarray:
     """Weights, the bias last, by full-batch gradient descent."""
-    x = np.zeros((len(rows), (1 << BITS) + 1))
-    for i, (url, _) in enumerate(rows):
-        g = grams(*split_url(url))
-        x[i, g] = 1 / np.sqrt(max(len(g), 1))
-        x[i, -1] = 1
+    seen = [grams(*split_url(url)) for url, _ in rows]
+    used = np.unique(np.concatenate([*seen, [1 << BITS]]))  # the last one is the bias
+    x = np.zeros((len(rows), len(used)))
+    for i, g in enumerate(seen):
+        x[i, np.searchsorted(used, g)] = 1 / np.sqrt(max(len(g), 1))
+    x[:, -1] = 1
     y = np.array([label for _, label in rows], dtype=float)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w)))
         w -= rate * (x.T @ (p - y) / len(y) * 10 + ridge * w)
-    return w
+    out = np.zeros((1 << BITS) + 1)
+    out[used] = w
+    return out
+
+
+def probability(weights: np.ndarray, host: str, path: str) -> float:
+    """The model's probability that the url is to be blocked."""
+    g = grams(host, path)
+    return float(1 / (1 + np.exp(-(weights[g].sum() / np.sqrt(max(len(g), 1)) + weights[-1]))))
 
 
 def rule_of(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -135,8 +150,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, la
                 if key not in known:
                     if len(known) > 100_000:
                         known.clear()
-                    g = grams(host, path)
-                    known[key] = float(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(len(g), 1)) + w[-1])))) if host or path else 0.0
+                    known[key] = probability(w, host, path)
                 scores.append(known[key])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "score"])
 
