@@ -4,9 +4,10 @@ penalties, its probabilities calibrated by a temperature.
 
 Document frequencies cover every training document. The regression is fitted on
 a sample of at most about ``sample_rows`` of them, shared evenly among the
-languages (the 1000 most frequent; a row of weights each) by a hash of the id,
-and held in 2**15 buckets; what is collected and broadcast does not grow with
-the corpus. Prediction is one scan, no shuffle.
+languages by a hash of id and text, and held in 2**15 buckets with a row of
+weights for each language; what is collected and broadcast does not grow with
+the corpus. More than ``most_langs`` languages are an error, none is left out.
+Prediction is one scan, no shuffle.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 as is every text where no language was learned; a null doc_id is never held
@@ -29,7 +30,13 @@ from .common import held_out
 BITS = 15
 _SIZE = 1 << BITS
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also fits some numbers, such as a half
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 _FOLD: list[np.ndarray] = []
 
 
@@ -118,21 +125,23 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
-def train(docs: DataFrame, sample_rows: int = 4000) -> tuple[list[str], np.ndarray, float]:
+def train(docs: DataFrame, sample_rows: int = 4000, most_langs: int = 1000) -> tuple[list[str], np.ndarray, float]:
     """(languages, weights by bucket with IDF folded in, temperature)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"over {most_langs} values of lang to learn")
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((_SIZE + 1, 0), dtype=np.float32), 1.0
     held, n = _frequencies(rows)
     idf = np.log((1 + n) / (1 + held)) + 1
-    # A fraction of each language, by a hash of the id: no ordering of the corpus.
+    # A fraction of each language by a hash; where repeated rows make it more, the lowest tickets.
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_rows / len(langs) / counts[k])))])
-    ticket = F.expr("pmod(xxhash64(doc_id, 'sample'), 1000000) / 1000000.0D")
-    sample = rows.where(ticket < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(4 * sample_rows)
+    drawn = rows.select("doc_id", "text", "lang", F.expr("pmod(xxhash64(doc_id, text, 'sample'), 1000000) / 1000000.0D").alias("ticket"))
+    sample = drawn.where(F.col("ticket") < F.element_at(share, F.col("lang"))).orderBy("ticket", "doc_id", "lang", "text").limit(4 * sample_rows)
     found = []
-    for r in sample.toPandas().sort_values("doc_id", ignore_index=True).itertuples():
+    for r in sample.toPandas().sort_values(["doc_id", "ticket", "lang", "text"], ignore_index=True).itertuples():
         b = buckets(r.text)
         k, c = np.unique(b, return_counts=True)
         x = np.append(30 * c / len(b) * idf[k], 1.0)
@@ -154,7 +163,7 @@ def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
             names, scores = [], []
             for x in b.column(2):
                 text = x.as_py() or ""
-                if not langs or not _LETTER.search(text):
+                if not langs or not has_letter(text):
                     names.append("und")
                     scores.append(0.0)
                     continue

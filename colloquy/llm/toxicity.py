@@ -2,16 +2,18 @@
 
 Token labels come from document labels: a token of a toxic document is labelled
 toxic where its word, or the beginning of it, is far more frequent in toxic documents
-than in others.
-The chain runs over sentences (cut after ``.``, ``!`` or ``?`` and at 256
-tokens, so every token is in just one). Forward-backward gives each token's
+than in others. These document frequencies are counted over all labelled
+documents that may be learned from.
+The chain runs over whole sentences, which end after ``.``, ``!`` or ``?``, so
+every token is in just one. Forward-backward gives each token's
 marginal; the document's score is a logistic function of the largest and of the
 sum of its marginals, and tokens with a marginal of one half or more are the
 offending spans.
 
 The model is fitted on the driver to at most about ``sample_rows`` labelled
-documents of each label, picked by a hash of the id; it holds 2**16 weights.
-Scoring is one scan of all whole texts, no shuffle.
+documents of each label, picked by a hash of the id, their tokens labelled by
+the ``most_words`` words that tell most; it holds 2**16 weights. Scoring is one
+scan of all whole texts, no shuffle.
 
 Defined results: null and empty texts score as documents without a toxic token;
 a null doc_id is never held out and has no label; a document with several label
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, held_out
 
-BITS, CUT = 16, 256
+BITS = 16
 #: Lengths of the word beginnings that count as features, as words can be compounds.
 STEMS = (3, 4, 5, 6, 7, 8)
 _TOKEN = re.compile(WORD)
@@ -65,15 +67,7 @@ def features(token: str) -> list[int]:
 
 def sentences(ends: np.ndarray) -> np.ndarray:
     """Sentence starts, from flags of the tokens that end one."""
-    n = len(ends)
-    start = np.zeros(n, dtype=bool)
-    if n:
-        start[0] = True
-        start[1:] = ends[:-1]
-        first = np.flatnonzero(start)
-        at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        start |= at % CUT == 0
-    return np.flatnonzero(start)
+    return np.flatnonzero(np.append(True, ends[:-1])) if len(ends) else np.zeros(0, dtype=np.int64)
 
 
 def forward_backward(unary: np.ndarray, starts: np.ndarray, move: np.ndarray, pairs: bool = False):
@@ -169,28 +163,51 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if 4 <= n < len(word))]
 
 
-def toxic_words(texts: list[str], labels: np.ndarray, least_gain: float = 22.0, least_ratio: float = 8.0) -> set[str]:
-    """Words and word beginnings whose document frequency ties them to toxic
-    documents: by the likelihood ratio and by the ratio of the two rates."""
-    by = [Counter(), Counter()]
-    for t, y in zip(texts, labels, strict=True):
-        by[int(y)].update({x for w in {bare(w) for w in _TOKEN.findall(t)} for x in stems(w)})
-    n0, n1 = max(int((labels == 0).sum()), 1), max(int((labels == 1).sum()), 1)
-    out = set()
-    for w, c1 in by[1].items():
-        c0 = by[0][w]
-        if not w or (c1 / n1) < least_ratio * (c0 + 0.5) / n0:
-            continue
-        rate = (c0 + c1) / (n0 + n1)
-        gain = 2 * (c1 * np.log(c1 / (n1 * rate)) + (c0 * np.log(c0 / (n0 * rate)) if c0 else 0.0))
-        if gain >= least_gain:
-            out.add(w)
-    return out
+def _stem_counts(labelled: DataFrame) -> DataFrame:
+    """(stem, n0, n1): documents of (text, bad) without and with the label
+    that hold a word or beginning; tasks add up before the shuffle."""
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, known = (Counter(), Counter()), {}
 
-def fit_chain(texts: list[str], labels: np.ndarray, rounds: int = 40, rate: float = 0.2, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+        def flush() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            columns = [pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in by)]
+            for c in by:
+                c.clear()
+            known.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["stem", "n0", "n1"])
+
+        for b in it:
+            for text, bad in zip(b.column(0), b.column(1), strict=True):
+                found: set[str] = set()
+                for w in {bare(w) for w in set(_TOKEN.findall(text.as_py() or ""))}:
+                    if w not in known:
+                        known[w] = stems(w) if w else []
+                    found.update(known[w])
+                by[bool(bad.as_py())].update(found)
+                if len(by[0]) + len(by[1]) > 400_000:
+                    yield flush()
+        yield flush()
+
+    return labelled.mapInArrow(batches, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def toxic_words(labelled: DataFrame, least_gain: float = 22.0, least_ratio: float = 8.0, most_words: int = 100_000) -> set[str]:
+    """Words and word beginnings whose document frequency over all of
+    ``labelled`` (text, bad) ties them to toxic documents: by the likelihood
+    ratio and by the ratio of the two rates."""
+    totals = {r["bad"]: r["n"] for r in labelled.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = (float(max(totals.get(bad, 0), 1)) for bad in (False, True))
+    c0, c1 = F.col("n0"), F.col("n1")
+    rate = (c0 + c1) / (n0 + n1)
+    gain = 2 * (c1 * F.log(c1 / (n1 * rate)) + F.when(c0 > 0, c0 * F.log(c0 / (n0 * rate))).otherwise(0.0))
+    tied = _stem_counts(labelled).where((c1 > 0) & (c1 / n1 >= least_ratio * (c0 + 0.5) / n0)).withColumn("gain", gain).where(F.col("gain") >= least_gain)
+    return {r["stem"] for r in tied.orderBy(F.desc("gain"), "stem").limit(most_words).collect()}
+
+
+def fit_chain(texts: list[str], labels: np.ndarray, words: set[str], rounds: int = 40, rate: float = 0.2, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """(weights, moves) of greatest conditional likelihood, by Adam."""
-    words = toxic_words(texts, labels)
     vocabulary, number, tagged, first, at = _Vocabulary(most=1 << 62), [], [], [], 0
     for t, y in zip(texts, labels, strict=True):
         tokens = _TOKEN.findall(t)
@@ -245,7 +262,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, most_words: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(chain weights, moves, document weights); None if nothing is toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -255,15 +272,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> tuple[
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / counts[1])).otherwise(min(1.0, sample_rows / max(counts.get(0, 0), 1)))
     ticket = F.expr("pmod(xxhash64(doc_id, 'toxic'), 1000000) / 1000000.0D")
     # At most 8 * sample_rows ids: a few hundred kilobytes to broadcast.
-    picked = F.broadcast(known.where(ticket < share).limit(8 * sample_rows))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("doc_id", "text", "toxic").limit(16 * sample_rows)
+    picked = F.broadcast(known.where(ticket < share).orderBy("doc_id").limit(8 * sample_rows))
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = texts_of.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(16 * sample_rows)
     got = sample.toPandas().fillna({"text": ""}).sort_values(["doc_id", "text"], ignore_index=True)
     texts, y = got["text"].tolist(), (got["toxic"].to_numpy() == 1).astype(float)
     later = np.arange(len(texts)) % 4 == 3
     if not y[~later].any() or not y[later].any():
         later = np.zeros(len(texts), dtype=bool)
     chain = [i for i in range(len(texts)) if not later[i]]
-    weights, move = fit_chain([texts[i] for i in chain], y[chain])
+    words = toxic_words(texts_of.join(known, "doc_id").select("text", (F.col("toxic") == 1).alias("bad")), most_words=most_words)
+    weights, move = fit_chain([texts[i] for i in chain], y[chain], words)
     vocabulary, x = _Vocabulary(weights), []
     for t in texts:
         p, _ = _marginals([_TOKEN.findall(t)], vocabulary, move)

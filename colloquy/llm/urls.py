@@ -35,7 +35,7 @@ BLOCKED_NAMES = (
     "viagra-shop", "casino-royal", "win-casino", "online-casino", "casino-slots", "big-win", "free-bets-now", "bets-club", "sports-bet", "free-money",
     "adult-videos", "adult-chat", "x-adult", "porn-tube", "sex-cams", "ads-server", "track-ads", "click-track", "ad-farm", "adtracker",
     "loan-fast", "payday-loans", "replica-watches", "warez-crack", "lottery-win", "poker-slots", "malware-drop", "phish-login", "torrent-pirate", "cheap-replica",
-    "porn-stars", "pornvideos", "payday-cash", "slots-online", "viagra-now", "sexchat", "bets-today", "warez-world", "x-casino", "hot-pills",
+    "porn-stars", "pornvideos", "payday-cash", "slots-online", "viagra-now", "sexvideos", "bets-today", "warez-world", "x-casino", "hot-pills",
 )
 ALLOWED_NAMES = (
     "news", "daily-herald", "library", "museum", "school", "university", "garden", "weather", "recipes", "travel", "history", "science", "music", "books",
