@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of sessions that name none, by application id.
+#: Folders of local sessions that name none, by application id.
 _OWN: dict[str, str] = {}
+#: Stashes of the innermost ``temporary`` block.
+_MADE: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a
-    local one only where that is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. A
+    local session, as in tests, may go without and gets one; a cluster may not,
+    as its executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="spark-scratch-")
@@ -43,9 +49,25 @@ def stash(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """``stash(make())``, after which the stashes that this made are deleted."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        out, path = stash(make())
+    finally:
+        _MADE.pop()
+    for other in made:
+        if other != path:
+            discard(spark, other)
+    return out, path
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stash that no later plan reads."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,3 +82,11 @@ def held_out(name: str = "doc_id", folds: int = 5) -> Column:
     """True where crc32 of the id's decimal text leaves remainder 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

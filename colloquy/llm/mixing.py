@@ -102,22 +102,34 @@ def _settle(seed: int, level: int, last: bool, change: int = 24):
     return run
 
 
+def _numbered(sized: DataFrame, block: int = 100_000) -> DataFrame:
+    """``sized`` with ``nth``, which tells equal rows apart, such as those
+    without an id, so that they spread over groups. Equal rows are counted with
+    map-side combine and laid out again in blocks, not in one task."""
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    dealt = blocks.repartition("doc_id", "size", "block")
+    first, last = F.col("block") * block, F.least(F.col("n"), (F.col("block") + 1) * block) - 1
+    return dealt.select("doc_id", "source", "size", F.explode(F.sequence(first, last)).alias("nth"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, group_rows: int = 2000, fan_in: int = 64, seed: int = 42) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row."""
-    sized, _ = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text_or_empty(), F.lit(WORD + "+")).cast("long").alias("size")))
+    sized, _ = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD + "+")).cast("long").alias("size")))
     goals, _ = stash(targets(sized, weights, most))
     deepest = goals.agg(F.max("n_docs")).first()[0] or 0
     share = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     goal = goals.withColumnRenamed("source", "goal_source")
     planned = (
-        sized.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
+        _numbered(sized)
+        .join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
         .withColumn("share", share)
         .withColumn("whole", F.floor("share"))
         .withColumn("groups", F.ceil(F.col("n_docs") / group_rows))
         .select(
             "doc_id", "source", "size", "source_size", "target", "whole",
             F.when(F.col("size") > 0, F.col("share") - F.col("whole")).otherwise(F.lit(0.0)).alias("p"),
-            "groups", F.expr("pmod(xxhash64(doc_id, size), groups)").alias("bucket"),
+            "groups", F.expr("pmod(xxhash64(doc_id, size, nth), groups)").alias("bucket"),
         )
     )
     settled = [planned.where("p = 0").withColumn("copies", F.col("whole"))]

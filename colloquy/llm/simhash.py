@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .graph import components
 
 #: A-Z to a-z, every other byte to itself.
@@ -163,11 +163,20 @@ def _masks(bits: int, budget: int) -> list[int]:
     return out
 
 
-def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 16384) -> DataFrame:
+def _depth(n: int, parts: int, node_rows: int, least_rows: int) -> int:
+    """Levels that are Spark rows: nodes of ``node_rows`` at most, and enough
+    pairs for all partitions while nodes hold ``least_rows``. Each level more
+    adds copies of every fingerprint, so there are no more than that."""
+    for_size = (max(n, 1) // node_rows).bit_length()
+    for_parts = next(d for d in range(64) if (1 << d) * (1 + d + d * (d - 1) // 2) >= 2 * parts)
+    return min(32, max(for_size, min(for_parts, (max(n, 1) // least_rows).bit_length())))
+
+
+def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 1 << 20, least_rows: int = 1 << 14) -> DataFrame:
     """(u, v): a spanning forest, task by task, of all links within ``budget``
     bits among the distinct ``fp`` of ``prints``."""
-    n = prints.count()
-    depth = min(32, max(0, (max(n, 1) // node_rows).bit_length()))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = _depth(prints.count(), parts, node_rows, min(least_rows, node_rows))
 
     def descend(rows: DataFrame, done: int, more: int) -> DataFrame:
         """Take (fp, node, mask, side) from depth ``done`` to ``done + more``."""
@@ -194,7 +203,7 @@ def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 16384) -> Da
     found = []
     while True:
         # Node pairs that are too large for one task descend four more levels.
-        sizes = pairs.groupBy("node", "mask").count().where(F.col("count") > 8 * node_rows).select("node", "mask")
+        sizes = pairs.groupBy("node", "mask").count().where(F.col("count") > 2 * node_rows).select("node", "mask")
         if depth + 4 > 60 or sizes.isEmpty():
             found.append(pairs)
             break
@@ -213,7 +222,9 @@ def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     doc_id reachable over links of at most ``budget`` differing bits."""
     prints, _ = stash(fingerprints(docs))
     distinct, _ = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct.select("fp"), budget))
+    links, path = stash(near_links(distinct.select("fp"), budget))
+    roots = components(links)
+    discard(docs.sparkSession, path)
     labelled = distinct.join(roots, distinct.fp == roots.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = stash(labelled.join(named, "root").select("fp", "component_id"))
@@ -224,4 +235,4 @@ def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest. Rows
     that repeat that doc_id stay with it; rows with a null doc_id stay."""
     drop = near_duplicates(docs, budget).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
