@@ -10,9 +10,12 @@ steps at a time in a table of the items' walks. A repetition has coins and
 steps of its own; repetitions are added until randomly edited items, with as
 many edits as are allowed, are found with the wanted recall, or the build
 fails. What collides is verified by exact edit distance against the text
-around the window. Nothing else leads to a verification; before it, windows
-with too few of the item's words for the allowed edits are left out, which
-loses nothing.
+around the window; nothing else leads to a verification.
+
+Two counts leave out windows that cannot hold an item, and lose nothing: a
+stretch with k edits has all but k of its first words in common with an item,
+so places where more of the words are no item's are not walked; and a collision
+with too few of its own item's words around it is not verified.
 
 Items of like sizes (within a factor of 1.4) share sampled steps, all below 1.5
 times the least size, where most walks are still inside the item. A walk from
@@ -148,6 +151,7 @@ class Sizes:
     """Items of like sizes with the LSH table of each of their repetitions."""
 
     least: int
+    slack: int  # most allowed edits
     members: np.ndarray
     tables: list[tuple[list[int], np.ndarray, np.ndarray]]  # steps, sorted keys, their items
     recall: float
@@ -212,7 +216,7 @@ def fitted(items: list[np.ndarray], allowed: list[int], members: np.ndarray, n_w
         order = np.argsort(keys[valid], kind="stable")
         tables.append((steps, keys[valid][order], members[valid][order]))
         turn += 1
-    return Sizes(least, members, tables, float(found.mean()))
+    return Sizes(least, slack, members, tables, float(found.mean()))
 
 
 def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float = 0.95) -> Index:
@@ -232,23 +236,37 @@ def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float
     return Index(ids, items, allowed, number, groups)
 
 
+def _walked(group: Sizes, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, begin): the places of windows that may hold an item, with the
+    words that their walks can reach, and which of them begin such a window."""
+    n, k, size = group.least, group.slack, len(coded) + 1
+    known = np.append(0, np.cumsum(coded > 0))
+    at = np.flatnonzero(known[n:] - known[:-n] >= n - k)
+    first, last = np.maximum(at - k, 0), np.minimum(at + k + 1, size - 1)
+    opened = np.bincount(first, minlength=size)
+    begin = np.cumsum(opened - np.bincount(last, minlength=size))[:-1] > 0
+    reach = np.cumsum(opened - np.bincount(np.minimum(last + 3 * n // 2, size - 1), minlength=size))[:-1] > 0
+    places = np.flatnonzero(reach)
+    return places, begin[places]
+
+
 def candidates(index: Index, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, item) where a window's walk and an item's collide."""
     place, item = [], []
-    thrown: dict[int, list[np.ndarray]] = {}
     for g, group in enumerate(index.groups):
+        places, begin = _walked(group, coded)
+        part = coded[places]
         for turn, (steps, keys, members) in enumerate(group.tables):
-            if len(coded) <= steps[-1] or not len(keys):
+            if len(part) <= steps[-1] or not len(keys):
                 continue
-            have, coin = thrown.setdefault(turn, []), index.coins(turn)
-            while len(have) <= steps[-1] >> 3:
-                have.append(coin[len(have)].take(coded, mode="clip"))
-            got = walk_all(coded, have, steps)
-            at = np.flatnonzero(index.present(g, turn).take(got & np.uint32(0x3FFFF), mode="clip"))
+            coin = index.coins(turn)
+            got = walk_all(part, [coin[k].take(part, mode="clip") for k in range((steps[-1] >> 3) + 1)], steps)
+            hit = index.present(g, turn).take(got & np.uint32(0x3FFFF), mode="clip")
+            at = np.flatnonzero(hit & begin[: len(got)])
             low, high = np.searchsorted(keys, got[at], "left"), np.searchsorted(keys, got[at], "right")
             count = high - low
             of = np.repeat(np.arange(len(at)), count)
-            place.append(at[of])
+            place.append(places[at[of]])
             item.append(members[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(of))])
     both = np.unique(np.column_stack([np.concatenate(item), np.concatenate(place)]), axis=0) if place else np.zeros((0, 2), dtype=np.int64)
     return both[:, 1], both[:, 0]
@@ -274,7 +292,7 @@ def search(index: Index, texts: list[str], block: int = 1 << 16) -> list[tuple[i
     stretch in each text, if it is within the item's allowed edits."""
     number, slack = index.number, max(index.allowed, default=0)
     tokens = [[number.get(w, 0) for w in words(t)] for t in texts]
-    room = max((s[-1] for g in index.groups for s, _, _ in g.tables), default=0)
+    room = max((3 * g.least // 2 + 2 * g.slack for g in index.groups), default=0)
     first, flat = [], []
     for w in tokens:
         flat += [0] * slack  # windows may begin before the text
