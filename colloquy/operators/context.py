@@ -34,6 +34,14 @@ def hot(messages: DataFrame, n: int = SETTINGS.hot_messages) -> DataFrame:
     return last_n(messages, n)
 
 
+def replaced(hot_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """``hot_rows`` in which the sessions of ``rows`` hold just these; a
+    session without rows keeps its list."""
+    columns = [c for c in hot_rows.columns if c in rows.columns]
+    stay = hot_rows.select(*columns).join(rows.select("session_id").distinct(), "session_id", "left_anti").select(*columns)
+    return stay.unionByName(rows.select(*columns))
+
+
 def hot_or_cold(messages: DataFrame, sessions: DataFrame, hot_rows: DataFrame, cold_n: int = SETTINGS.cold_messages) -> DataFrame:
     """A session's hot list if it has one, else the last messages after its
     summary from cold storage."""

@@ -98,8 +98,11 @@ def rounds(messages: DataFrame, most: int = SETTINGS.tool_rounds) -> DataFrame:
 
 
 def wire(messages: DataFrame) -> DataFrame:
-    """The provider's message: role and content, other keys only where set."""
-    extra = [c for c in ("tool_calls", "tool_call_id", "name") if c in messages.columns]
+    """The provider's message: role and content; the other keys only where they
+    are neither null nor empty."""
+    extra = [F.nullif(c, F.lit("")).alias(c) for c in ("tool_call_id", "name") if c in messages.columns]
+    if "tool_calls" in messages.columns:
+        extra.insert(0, F.when(F.size("tool_calls") > 0, F.col("tool_calls")).alias("tool_calls"))
     return messages.withColumn("wire", F.to_json(F.struct("role", F.coalesce("content", F.lit("")).alias("content"), *extra)))
 
 

@@ -69,6 +69,14 @@ def page_of_user(sessions: DataFrame, user_id: str, page: int = 1, size: int = S
     return sessions.where(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), "session_id").offset((page - 1) * size).limit(size)
 
 
+def session(sessions: DataFrame, session_id: str) -> DataFrame:
+    """One session; a session that does not exist is an error."""
+    found = sessions.where(F.col("session_id") == session_id)
+    if found.isEmpty():
+        raise LookupError(f"session {session_id} not found")
+    return found
+
+
 def owned(messages: DataFrame, sessions: DataFrame, requests: DataFrame) -> DataFrame:
     """Messages of sessions that were asked for by their own user."""
     granted = sessions.join(requests, ["session_id", "user_id"], "left_semi")

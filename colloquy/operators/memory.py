@@ -28,6 +28,13 @@ def recall(memories: DataFrame, query: list[float], limit: int = SETTINGS.recall
     return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
+def listed(memories: DataFrame) -> DataFrame:
+    """Each user's whole store as its public fields; no metadata is an empty map."""
+    none = F.create_map().cast("map<string,string>")
+    metadata = F.coalesce("metadata", none) if "metadata" in memories.columns else none
+    return memories.select("user_id", F.col("id").cast("string").alias("id"), "memory", metadata.alias("metadata"))
+
+
 def facts(found: DataFrame) -> DataFrame:
     """A bulleted list of each user's recalled memories."""
     lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), F.coalesce("memory", F.lit(""))).alias("line"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso, model_name, model_ratio, model_type
@@ -17,16 +17,24 @@ def usage(messages: DataFrame, owners: DataFrame, models: DataFrame) -> DataFram
     return typed.withColumn("weighted_tokens", F.col("usage_tokens") * model_ratio(F.col("model_type")))
 
 
-def usage_events(used: DataFrame, at) -> DataFrame:
-    """Usage as JSON for a topic, key by user."""
+def usage_events(used: DataFrame, at, group_id: Column | None = None, trace_id: Column | None = None) -> DataFrame:
+    """Usage as JSON for a topic, key by user; a field without a value is null."""
+    none = F.lit(None).cast("string")
     body = F.to_json(
         F.struct(
-            F.col("user_id").alias("userId"), F.col("usage_tokens").alias("usageTokens"), F.col("model_type").alias("modelType"), iso(F.lit(at)).alias("requestTime"),
-        )
+            F.col("user_id").alias("userId"), (none if group_id is None else group_id).alias("groupId"), F.col("usage_tokens").alias("usageTokens"),
+            (none if trace_id is None else trace_id).alias("traceId"), F.col("model_type").alias("modelType"), iso(F.lit(at)).alias("requestTime"),
+        ),
+        {"ignoreNullFields": "false"},
     )
     return used.select(F.col("user_id").alias("key"), body.alias("value"))
 
 
+def active(models: DataFrame) -> DataFrame:
+    """Models that are offered; a null flag counts as offered, its default."""
+    return models.where(F.coalesce("is_active", F.lit(True)))
+
+
 def catalogue(models: DataFrame, default: str) -> DataFrame:
     """Model rows with name, type, ratio and whether it is the default."""
     typed = models.withColumn("type", model_type(F.col("model")))

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The latest row of each key, by ``at``; aggregated map-side."""
-    packed = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(at)).alias("_row"))
+    """The latest row of each key, by ``at``, of equal times the greatest by its
+    other columns; aggregated map-side."""
+    others = F.struct(*[c for c in rows.columns if c != key])
+    packed = rows.groupBy(key).agg(F.max_by(others, F.struct(at, F.to_json(others))).alias("_row"))
     return packed.select(key, "_row.*").select(*rows.columns)
 
 
 def updated(sessions: DataFrame, changes: DataFrame, key: str = "session_id") -> DataFrame:
     """Sessions with the latest change of each laid over: ``changes`` has the
     key, ``changed_at`` and any of the session's columns; a null leaves what
-    was there, and a change of an unknown session does nothing."""
+    was there, of equal times the greater value counts, and a change of an
+    unknown session does nothing."""
     fields = [c for c in changes.columns if c not in (key, "changed_at")]
-    newest = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("changed_at"))).alias(f"_{c}") for c in fields])
+    newest = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("changed_at", c))).alias(f"_{c}") for c in fields])
     laid = {c: F.coalesce(f"_{c}", c) for c in fields}
     return sessions.join(newest, key, "left").select(*[laid[c].alias(c) if c in laid else F.col(c) for c in sessions.columns])
 
@@ -36,9 +39,10 @@ def pinned_first(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("place", F.row_number().over(w))
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Bulk append, in order of session so that a point read touches few files."""
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, key: str = "session_id") -> None:
+    """Bulk append; each file is in order of ``key``, so that a point read skips
+    most row groups by their statistics."""
+    rows.sortWithinPartitions(key).write.mode("append").parquet(path)
 
 
 def send(rows: DataFrame, topic: str, servers: str | None = None, path: str | None = None, headers: dict[str, str] | None = None) -> None:

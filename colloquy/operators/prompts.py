@@ -17,8 +17,8 @@ SELECTION = "<selected_text>\n%s\n</selected_text>\n\n<user_query>\n%s\n</user_q
 
 def transcript(messages: DataFrame, by: str = "session_id") -> DataFrame:
     """``role: content`` lines of each session in time order; null content is
-    the empty string. A session's lines are one value, so this is for what a
-    token budget has already bounded."""
+    the empty string. A session's lines are one value, as a summariser reads
+    them: what one prompt can hold bounds it, not the table."""
     line = F.concat(F.col("role"), F.lit(": "), F.coalesce("content", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("created_at", "ordinal", line.alias("line"))))
     return messages.groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))

@@ -35,10 +35,13 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import turns  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -87,15 +90,19 @@ def history_after_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, ordinal) AS r, count(*) OVER (PARTITION BY session_id) AS total
   FROM messages WHERE role IN ('user', 'assistant')
 ), t AS (SELECT DISTINCT session_id, total FROM d)
-SELECT t.session_id, t.total, d.ordinal, d.role, d.content, CAST(2 AS BIGINT) AS page, CAST(3 AS BIGINT) AS size,
-       CAST(ceil(t.total / 3.0) AS BIGINT) AS total_page
+SELECT t.session_id, t.total, d.ordinal, d.session_id || '-' || d.ordinal AS id, d.role, d.content, CAST(NULL AS VARCHAR) AS tool_calls,
+       {iso("d.created_at")} AS created_at, CAST(2 AS BIGINT) AS page, CAST(3 AS BIGINT) AS size, CAST(ceil(t.total / 3.0) AS BIGINT) AS total_page
 FROM t LEFT JOIN d ON d.session_id = t.session_id AND d.r BETWEEN 4 AND 6"""
 )
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of three of each session's dialogue, with totals."""
     rows = history.dialogue(tables.messages(spark, sf_dir)).select("session_id", "created_at", "ordinal", "role", "content")
     found = history.paged(rows, "session_id", [F.col("created_at"), F.col("ordinal")], 2, 3)
-    return found.select("session_id", "total", "ordinal", "role", "content", "page", "size", "total_page")
+    made = F.concat_ws("-", F.when(F.col("ordinal").isNotNull(), F.col("session_id")), F.col("ordinal").cast("string"))
+    return found.select(
+        "session_id", "total", "ordinal", F.nullif(made, F.lit("")).alias("id"), "role", "content", F.lit(None).cast("string").alias("tool_calls"),
+        T.iso(F.col("created_at")).alias("created_at"), "page", "size", "total_page",
+    )
 
 
 @_query(
@@ -280,12 +287,15 @@ def usage_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SESSIONS}, o AS (SELECT session_id, user_id, {_MODEL_OF} AS model FROM sessions), p AS (
   SELECT user_id, model, sum(token_count) AS n FROM messages JOIN o USING (session_id) GROUP BY ALL HAVING sum(token_count) <> 0
 )
-SELECT user_id AS key, user_id AS "userId", CAST(n AS BIGINT) AS "usageTokens", {_KIND_OF} AS "modelType", '2024-02-01T00:00:00' AS "requestTime" FROM p"""
+SELECT user_id AS key, user_id AS "userId", CASE WHEN user_id <> '3' THEN 'g' || user_id END AS "groupId", CAST(n AS BIGINT) AS "usageTokens",
+       'trace-' || user_id AS "traceId", {_KIND_OF} AS "modelType", '2024-02-01T00:00:00' AS "requestTime" FROM p"""
 )
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage as JSON events, read back by field."""
-    events = metering.usage_events(usage_by_user(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    fields = F.from_json("value", "userId string, usageTokens long, modelType int, requestTime string")
+    group = F.when(F.col("user_id") != "3", F.concat(F.lit("g"), F.col("user_id")))
+    trace = F.concat(F.lit("trace-"), F.col("user_id"))
+    events = metering.usage_events(usage_by_user(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp"), group, trace)
+    fields = F.from_json("value", "userId string, groupId string, usageTokens long, traceId string, modelType int, requestTime string")
     return events.select("key", fields.alias("v")).select("key", "v.*")
 
 
@@ -531,8 +541,8 @@ SELECT session_id, string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal) AS
 def stream_hot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped lists as a stream leaves them; equal to the batch ones."""
     lists = mutations.latest(state.appended(state.hot_lists(state.message_stream(spark, sf_dir), 5, seconds=None)), "session_id", "version")
-    held = F.from_json("messages", "array<array<string>>")
-    return lists.select("session_id", held.alias("h")).select("session_id", F.array_join(F.transform("h", lambda m: m[0]), ",").alias("ordinals"), F.size("h").cast("long").alias("n"))
+    held = F.from_json("messages", "array<struct<ordinal:long>>")
+    return lists.select("session_id", held.alias("h")).select("session_id", F.array_join(F.transform("h", lambda m: m["ordinal"].cast("string")), ",").alias("ordinals"), F.size("h").cast("long").alias("n"))
 
 
 @_query(f"""WITH {MESSAGES} SELECT session_id, CAST(sum(token_count) AS BIGINT) AS usage_tokens, count(*) AS n_messages FROM messages GROUP BY 1""")

@@ -37,6 +37,33 @@ class Settings:
 SETTINGS = Settings()
 
 
+def configured(spark, prefix: str = "spark.colloquy.") -> Settings:
+    """Settings that the session names, such as ``spark.colloquy.hotMessages``."""
+    laid: dict = {}
+    for f in fields(Settings):
+        head, *rest = f.name.split("_")
+        value = spark.conf.get(prefix + head + "".join(x.capitalize() for x in rest), None)
+        if value is not None:
+            old = getattr(SETTINGS, f.name)
+            laid[f.name] = tuple(x.strip() for x in value.split(",")) if isinstance(old, tuple) else type(old)(value)
+    return merged(laid)
+
+
+def overlaid(base, *over):
+    """Maps laid over each other by key, the last one winning; nulls count as empty."""
+    from pyspark.sql import functions as F
+
+    none = F.create_map().cast("map<string,string>")
+
+    def lay(own, some):
+        return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(some, k)), some)
+
+    out = F.coalesce(base, none)
+    for one in over:
+        out = lay(out, F.coalesce(one, none))
+    return out
+
+
 def merged(*sources: dict) -> Settings:
     """Settings with the given sources laid over the defaults, the last one
     winning; unknown keys are ignored."""

@@ -71,7 +71,12 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as streamed fragments: a call for each user, in time order."""
-    return read(spark, sf_dir, "events").select(
+    return fragments_of(read(spark, sf_dir, "events"))
+
+
+def fragments_of(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as fragments."""
+    return events.select(
         F.col("user_id").alias("call"),
         F.expr("unix_micros(cast(ts as timestamp))").alias("seq"),
         F.expr("cast(event_id % 2 as int)").alias("index"),

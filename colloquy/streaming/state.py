@@ -6,22 +6,30 @@ Event-time watermarks are Spark's: the reference's marks are token budgets.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import search_tokens
+from ..operators.context import window
+from ..operators.history import last_n
+from ..operators.hooks import completed, summaries
 from ..operators.mutations import latest
+from ..operators.prompts import summary_input
 from ..settings import SETTINGS
-from ..sources.tables import token_estimate
+from ..sources.tables import fragments_of, token_estimate
 
 
 def scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A folder of its own in the shared one that spark.checkpoint.dir names."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -34,9 +42,16 @@ def message_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) ->
     )
 
 
+def delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stream of text fragments, as ``tables.deltas`` has them."""
+    path = f"{sf_dir}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    return fragments_of(raw).select("call", "seq", "content", "finish_reason")
+
+
 def hot_lists(messages: DataFrame, n: int = SETTINGS.hot_messages, seconds: int | None = SETTINGS.hot_seconds) -> DataFrame:
     """(session_id, version, messages): the capped list after each batch that
-    writes to it; ``version`` counts the session's messages so far. State is at
+    writes to it, each message as JSON with all of its columns; ``version`` counts the session's messages so far. State is at
     most ``n`` messages a session and goes after ``seconds`` without a write.
     A timeout keeps a stream busy, so a run over what is there now
     (``availableNow``) takes ``seconds=None``."""
@@ -47,8 +62,8 @@ def hot_lists(messages: DataFrame, n: int = SETTINGS.hot_messages, seconds: int
             return
         held, version = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
         for rows in batches:
-            held += [[int(o), r, c] for o, r, c in zip(rows["ordinal"], rows["role"], rows["content"], strict=True)]
-            held, version = sorted(held, key=lambda x: x[0])[-n:], version + len(rows)
+            held += json.loads(rows.drop(columns="session_id").to_json(orient="records", date_format="iso", date_unit="us"))
+            held, version = sorted(held, key=lambda x: x["ordinal"])[-n:], version + len(rows)
         state.update((json.dumps(held), version))
         if seconds is not None:
             state.setTimeoutDuration(seconds * 1000)
@@ -80,7 +95,8 @@ def assembled_text(deltas: DataFrame) -> DataFrame:
         else:
             state.update((json.dumps(held),))
 
-    return deltas.groupBy("call").applyInPandasWithState(join, "call string, content string", "held string", "append", GroupStateTimeout.NoTimeout)
+    kind = deltas.schema["call"].dataType.simpleString()
+    return deltas.groupBy("call").applyInPandasWithState(join, f"call {kind}, content string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def appended(stream: DataFrame) -> DataFrame:
@@ -105,19 +121,46 @@ def updated(stream: DataFrame, key: str) -> DataFrame:
     return latest(spark.read.parquet(f"{out}/rows").drop("part"), key, "batch").drop("batch")
 
 
-def post_turn(root: str, usage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink of a finished turn: cold messages, memory rows and
-    usage, each to its own folder of the batch. A retried batch overwrites what
-    it wrote, and one sink's failure leaves the others' folders whole."""
+def post_turn(root: str, usage: Callable[[DataFrame], DataFrame], n: int = SETTINGS.hot_messages, failed: Callable[[str, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of a finished turn: the hot rows, cold messages and
+    memory rows, each to its own folder of the batch, then usage. A batch adds
+    at most ``n`` hot rows a session; ``last_n`` over the folders is the list.
+    A retried batch overwrites what it wrote. A failure of one of the first three goes to
+    ``failed`` and stops no other; one of usage fails the batch, which Spark
+    then runs again."""
 
     def write(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         try:
             filled = rows.withColumn("token_count", F.coalesce("token_count", token_estimate()))
-            filled.write.mode("overwrite").parquet(f"{root}/cold/part={batch}")
-            filled.select("session_id", "role", "content").write.mode("overwrite").parquet(f"{root}/memory/part={batch}")
+            searched = filled.withColumn("search_tokens", F.when(F.col("content") != "", search_tokens(F.col("content"))))
+            sinks = {
+                "hot": lambda: last_n(filled, n).drop("age").write.mode("overwrite").parquet(f"{root}/hot/part={batch}"),
+                "cold": lambda: searched.write.mode("overwrite").parquet(f"{root}/cold/part={batch}"),
+                "memory": lambda: filled.select("session_id", "role", "content").write.mode("overwrite").parquet(f"{root}/memory/part={batch}"),
+            }
+            for name, sink in sinks.items():
+                try:
+                    sink()
+                except Exception as e:  # noqa: BLE001  isolation is the contract
+                    if failed:
+                        failed(name, e)
             usage(filled).write.mode("overwrite").json(f"{root}/usage/part={batch}")
         finally:
             rows.unpersist()
 
     return write
+
+
+def compressed(messages: DataFrame, sessions: DataFrame, complete: Callable[[str], str], at) -> tuple[DataFrame, DataFrame]:
+    """Summarise and compress, for every session over its high mark: (session
+    changes with the new summary and the ordinal of the last message that it
+    covers, the rows that its hot list is replaced by). A session whose summary
+    fails or is blank appears in neither. ``at`` is the time of the change. The
+    boundary is an ordinal, as times are not unique."""
+    spread = window(messages)
+    answered = completed(summary_input(spread, sessions, only_flagged=True), complete)
+    covered = spread.where("bucket = 'compress' AND needs_compression").groupBy("session_id").agg(F.max("ordinal").alias("summary_ordinal"))
+    changes = summaries(answered, F.lit(at)).join(covered, "session_id").withColumn("summary_updated_at", F.lit(at))
+    keep = spread.where("bucket = 'keep'").join(changes.select("session_id"), "session_id", "left_semi")
+    return changes, keep.select(*messages.columns)

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from colloquy.functions import frames
 from colloquy.functions import text as T
 from colloquy.operators import access, context, fragments, history, hooks, memory, metering, mutations, prompts, search
-from colloquy.settings import SETTINGS, merged
+from colloquy.settings import SETTINGS, configured, merged
 from colloquy.streaming import state
 
 AT = dt.datetime(2024, 1, 1)
@@ -106,6 +106,8 @@ def test_fragments(spark):
     assert [r[0] for r in left] == [[2, 3], []]
     wire = fragments.wire(messages(spark, [("a", 1, "user", None, 1)]).withColumn("name", F.lit(None).cast("string"))).first()["wire"]
     assert json.loads(wire) == {"role": "user", "content": ""}
+    empties = messages(spark, [("a", 1, "user", "x", 1)]).selectExpr("*", "'' AS name", "'' AS tool_call_id", "cast(array() as array<struct<id:string>>) AS tool_calls")
+    assert json.loads(fragments.wire(empties).first()["wire"]) == {"role": "user", "content": "x"}
 
 
 def test_frames(spark):
@@ -176,7 +178,7 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("a", 3 * k + i, "user", f"m{3 * k + i}", 2) for i in range(3)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     lists = mutations.latest(state.appended(state.hot_lists(stream, 4, seconds=None)), "session_id", "version").collect()
-    assert [[m[0] for m in json.loads(r["messages"])] for r in lists] == [[2, 3, 4, 5]]
+    assert [[m["ordinal"] for m in json.loads(r["messages"])] for r in lists] == [[2, 3, 4, 5]]
     assert [(r["usage_tokens"], r["n_messages"]) for r in state.updated(state.running_usage(stream), "session_id").collect()] == [(12, 6)]
     kind = "call string, seq long, content string, finish_reason string"
     spark.createDataFrame([("c", 2, "lo", None), ("d", 1, "x", None)], kind).coalesce(1).write.parquet(f"{tmp_path}/deltas")
@@ -191,9 +193,114 @@ def test_post_turn(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)  # a retried batch
     assert spark.read.parquet(f"{tmp_path}/cold").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/cold").where("search_tokens = 'twelve chars'").count() == 1
     assert spark.read.json(f"{tmp_path}/usage").first()["usageTokens"] == 8
 
 
+def test_post_turn_sinks_are_independent(spark, tmp_path):
+    """A sink that fails is reported and stops no other; hot rows are capped."""
+    (tmp_path / "hot").write_text("not a folder")
+    failures = []
+    usage = lambda rows: rows.groupBy("session_id").agg(F.sum("token_count").alias("usageTokens"))
+    state.post_turn(str(tmp_path), usage, 2, lambda name, e: failures.append(name))(messages(spark, [("a", k, "user", "x", 1) for k in range(5)]), 0)
+    assert failures == ["hot"] and spark.read.parquet(f"{tmp_path}/cold").count() == spark.read.parquet(f"{tmp_path}/memory").count() == 5
+    assert spark.read.json(f"{tmp_path}/usage").first()["usageTokens"] == 5
+    (tmp_path / "hot").unlink()
+    for batch in range(2):
+        state.post_turn(str(tmp_path), usage, 2)(messages(spark, [("a", 5 * batch + k, "user", "x", 1) for k in range(5)]), batch)
+    hot = spark.read.parquet(f"{tmp_path}/hot")
+    assert hot.count() == 4 and {r["ordinal"] for r in history.last_n(hot, 2).collect()} == {8, 9}
+
+
+def test_time_to_live(spark, tmp_path):
+    """A list that nobody writes to for its time to live starts again, and
+    every write puts the end off."""
+    import time
+
+    schema = "session_id string, ordinal long, role string, content string, token_count long"
+
+    def write(session, ordinal):
+        spark.createDataFrame([(session, ordinal, "user", "x", 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    write("a", 1)
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    lists = state.hot_lists(stream, 5, seconds=6)
+    query = lists.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(processingTime="1 second").start()
+
+    def version(n):
+        """The versions of session a once it has been written ``n`` times."""
+        for _ in range(120):
+            rows = spark.read.schema(lists.schema).parquet(f"{tmp_path}/out").where("session_id = 'a'").collect() if (tmp_path / "out").exists() else []
+            if len(rows) >= n:
+                return sorted((r["version"], [m["ordinal"] for m in json.loads(r["messages"])]) for r in rows)
+            time.sleep(0.5)
+        raise AssertionError(query.exception() or "no row")
+
+    try:
+        assert version(1) == [(1, [1])]
+        write("a", 2)
+        assert version(2) == [(1, [1]), (2, [1, 2])]
+        time.sleep(8)
+        write("b", 1)  # a batch of another session
+        time.sleep(3)
+        write("a", 3)
+        assert version(3) == [(1, [1]), (1, [3]), (2, [1, 2])]
+    finally:
+        query.stop()
+
+
+def test_compression_end_to_end(spark):
+    """The boundary is an ordinal; failed and blank summaries change nothing."""
+    rows = messages(spark, [(s, o, "user", f"{s}{o}", 300) for s in "abcd" for o in range(4 if s != "d" else 1)])
+    sessions = spark.createDataFrame([(s, "u", None, None, None) for s in "abcd"], "session_id string, user_id string, current_summary string, summary_ordinal long, summary_updated_at timestamp_ntz")
+
+    def answer(prompt):
+        if "b0" in prompt:
+            raise RuntimeError("down")
+        return "  " if "c0" in prompt else " all of it "
+
+    changes, kept = state.compressed(rows, sessions, answer, AT)
+    now = {r["session_id"]: r for r in mutations.updated(sessions, changes).collect()}
+    assert (now["a"]["current_summary"], now["a"]["summary_ordinal"], now["a"]["summary_updated_at"]) == ("all of it", 2, AT)
+    assert all(now[s]["current_summary"] is None for s in "bcd")
+    assert [(r["session_id"], r["ordinal"]) for r in kept.collect()] == [("a", 3)]
+    hot = context.replaced(context.hot(rows, 2), kept)
+    assert sorted((r["session_id"], r["ordinal"]) for r in hot.collect()) == [("a", 3), ("b", 2), ("b", 3), ("c", 2), ("c", 3), ("d", 0)]
+
+
+def test_history_tool(spark):
+    rows = messages(spark, [("a", 1, "user", "Hello big world", 1), ("a", 2, "assistant", "WORLD x", 1)])
+    asked = [(1, None, "world", None, None), (2, "a", "  ", None, None), (3, "a", "nothing", None, None), (4, "a", "world", "bad", "2000-01-01T00:00:00"), (5, "a", "world", None, "2000-01-01T00:00:00"), (6, "z", "world", None, None)]
+    got = {r["request_id"]: r["output"] for r in search.history_tool(rows, spark.createDataFrame(asked, "request_id long, session_id string, keyword string, start_time string, end_time string")).collect()}
+    assert got[1] == "[Tool Error] Missing session_id in execution context." and got[2] == "[Tool Error] Missing required argument: keyword."
+    assert got[3] == "[Tool Result] No messages found for keyword: 'nothing'." and got[5] == got[6] == "[Tool Result] No messages found for keyword: 'world'."
+    assert got[4] == "[user] (2024-01-01T00:00:00): Hello big world\n[assistant] (2024-01-01T00:00:00): WORLD x"
+    tools = fragments.Registry()
+    tools.register("search_history", "Looks through the session.", search.HISTORY_TOOL, lambda args: "")
+    assert tools.schemas()[0]["function"]["parameters"]["required"] == ["keyword"]
+
+
+def test_lookups_and_settings(spark):
+    sessions = spark.createDataFrame([("a", "u")], "session_id string, user_id string")
+    assert history.session(sessions, "a").first()["user_id"] == "u"
+    with pytest.raises(LookupError):
+        history.session(sessions, "z")
+    spark.conf.set("spark.colloquy.contextTokens", "1000")
+    spark.conf.set("spark.colloquy.standardModels", "a, b")
+    try:
+        laid = configured(spark)
+    finally:
+        spark.conf.unset("spark.colloquy.contextTokens")
+        spark.conf.unset("spark.colloquy.standardModels")
+    assert laid.high_budget == 800 and laid.standard_models == ("a", "b") and configured(spark) == SETTINGS
+    models = spark.createDataFrame([("x", True), ("y", False), ("z", None)], "model string, is_active boolean")
+    assert {r["model"] for r in metering.active(models).collect()} == {"x", "z"}
+    items = spark.createDataFrame([(1, "u", "m", None)], "id long, user_id string, memory string, metadata map<string,string>")
+    assert memory.listed(items).first()["metadata"] == {}
+    ties = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y")], "k string, at long, v string")
+    assert all(mutations.latest(ties.repartition(n), "k", "at").first()["v"] == "y" for n in (1, 3))
+
+
 def test_hooks(spark):
     rows = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "blank"), ("d", None)], "session_id string, prompt string")
     answers = {"good": " a summary ", "blank": "  "}
