@@ -4,7 +4,16 @@ and read again as the next one's input.
 Toxic documents go, then similar lines, then all but one document of each
 SimHash group, then documents that hold a benchmark item; the last stage plans
 how often each document that is left is taken to reach the sources' weights.
-Defined results for odd rows are those of the stages' operators.
+What a stage wrote is deleted once the next stage has read it. The last stage's
+rows carry no text: joined to the fourth stage's by doc_id they say how often
+each is to be written out.
+
+Defined results: null and empty texts hold no toxic token, no line and no item
+and share the fingerprint zero, so one such document stays; rows without a
+doc_id stay unless they are toxic, hold an item, or all of their lines are kept
+elsewhere; rows equal in doc_id and text stay together; extra columns, whatever
+their names, are carried as far as the fourth stage; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontam, linededup, mixing, simhash, toxicity
-from colloquy.llm.common import stash, table
+from colloquy.llm.common import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = stash(stage(spark, docs, sf_dir))
+        docs, path = written(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return docs
