@@ -277,6 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, most_word
     sample = texts_of.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(16 * sample_rows)
     got = sample.toPandas().fillna({"text": ""}).sort_values(["doc_id", "text"], ignore_index=True)
     texts, y = got["text"].tolist(), (got["toxic"].to_numpy() == 1).astype(float)
+    if not y.any():  # no document has a toxic label
+        return None
     later = np.arange(len(texts)) % 4 == 3
     if not y[~later].any() or not y[later].any():
         later = np.zeros(len(texts), dtype=bool)
