@@ -3,7 +3,8 @@
 Token labels come from document labels: a token of a toxic document is labelled
 toxic where its word, or the beginning of it, is far more frequent in toxic documents
 than in others. These document frequencies are counted over all labelled
-documents that may be learned from.
+documents that may be learned from, for the words and beginnings that the
+sample below suggests.
 The chain runs over whole sentences, which end after ``.``, ``!`` or ``?``, so
 every token is in just one. Forward-backward gives each token's
 marginal; the document's score is a logistic function of the largest and of the
@@ -11,9 +12,9 @@ sum of its marginals, and tokens with a marginal of one half or more are the
 offending spans.
 
 The model is fitted on the driver to at most about ``sample_rows`` labelled
-documents of each label, picked by a hash of the id, their tokens labelled by
-the ``most_words`` words that tell most; it holds 2**16 weights. Scoring is one
-scan of all whole texts, no shuffle.
+documents of each label, picked by a hash of the id; it holds 2**16 weights.
+Counting reads all texts once and shuffles a few numbers for each; scoring is
+one scan of all whole texts, no shuffle.
 
 Defined results: null and empty texts score as documents without a toxic token;
 a null doc_id is never held out and has no label; a document with several label
@@ -163,47 +164,50 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if 4 <= n < len(word))]
 
 
-def _stem_counts(labelled: DataFrame) -> DataFrame:
-    """(stem, n0, n1): documents of (text, bad) without and with the label
-    that hold a word or beginning; tasks add up before the shuffle."""
+def suggested(texts: list[str], labels: np.ndarray, least: int = 2, ratio: float = 2.0) -> list[str]:
+    """Words and beginnings that ``least`` toxic documents of the sample hold,
+    at ``ratio`` times the rate of the others: much looser than what decides."""
+    by = (Counter(), Counter())
+    for t, y in zip(texts, labels, strict=True):
+        by[int(y)].update({x for w in {bare(w) for w in _TOKEN.findall(t)} if w for x in stems(w)})
+    n0, n1 = max(int((labels == 0).sum()), 1), max(int((labels == 1).sum()), 1)
+    return sorted(x for x, c in by[1].items() if c >= least and c / n1 >= ratio * (by[0][x] + 0.5) / n0)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, known = (Counter(), Counter()), {}
 
-        def flush() -> pa.RecordBatch:
-            names = list(by[0].keys() | by[1].keys())
-            columns = [pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in by)]
-            for c in by:
-                c.clear()
-            known.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["stem", "n0", "n1"])
+def toxic_words(docs: DataFrame, known: DataFrame, names: list[str], n0: int, n1: int, least_gain: float = 22.0, least_ratio: float = 8.0) -> set[str]:
+    """Those of ``names`` whose document frequency over all labelled documents
+    ties them to toxic ones: by the likelihood ratio and by the ratio of the
+    two rates. ``docs`` (doc_id, text), ``known`` (doc_id, toxic) with ``n1``
+    toxic rows and ``n0`` others. A text becomes the few numbers of the names
+    that it holds before it meets its label."""
+    shared = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = shared.value, {}
         for b in it:
-            for text, bad in zip(b.column(0), b.column(1), strict=True):
-                found: set[str] = set()
-                for w in {bare(w) for w in set(_TOKEN.findall(text.as_py() or ""))}:
-                    if w not in known:
-                        known[w] = stems(w) if w else []
-                    found.update(known[w])
-                by[bool(bad.as_py())].update(found)
-                if len(by[0]) + len(by[1]) > 400_000:
-                    yield flush()
-        yield flush()
-
-    return labelled.mapInArrow(batches, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def toxic_words(labelled: DataFrame, least_gain: float = 22.0, least_ratio: float = 8.0, most_words: int = 100_000) -> set[str]:
-    """Words and word beginnings whose document frequency over all of
-    ``labelled`` (text, bad) ties them to toxic documents: by the likelihood
-    ratio and by the ratio of the two rates."""
-    totals = {r["bad"]: r["n"] for r in labelled.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = (float(max(totals.get(bad, 0), 1)) for bad in (False, True))
-    c0, c1 = F.col("n0"), F.col("n1")
-    rate = (c0 + c1) / (n0 + n1)
-    gain = 2 * (c1 * F.log(c1 / (n1 * rate)) + F.when(c0 > 0, c0 * F.log(c0 / (n0 * rate))).otherwise(0.0))
-    tied = _stem_counts(labelled).where((c1 > 0) & (c1 / n1 >= least_ratio * (c0 + 0.5) / n0)).withColumn("gain", gain).where(F.col("gain") >= least_gain)
-    return {r["stem"] for r in tied.orderBy(F.desc("gain"), "stem").limit(most_words).collect()}
+            found = []
+            for t in b.column(1):
+                here: set[int] = set()
+                for w in set(_TOKEN.findall(t.as_py() or "")):
+                    if (got := seen.get(w)) is None:
+                        got = seen[w] = [number[x] for x in stems(bare(w)) if x in number]
+                    if got:
+                        here.update(got)
+                found.append(list(here))
+                if len(seen) > 500_000:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "held"])
+
+    held = docs.where(~held_out()).mapInArrow(batches, "doc_id long, held array<int>").where(F.size("held") > 0)
+    each = held.join(known, "doc_id").select((F.col("toxic") == 1).alias("bad"), F.explode("held").alias("i"))
+    out = set()
+    for r in each.groupBy("i").agg(F.count_if("bad").alias("c1"), F.count_if(~F.col("bad")).alias("c0")).collect():
+        c0, c1 = r["c0"], r["c1"]
+        if c1 and c1 / n1 >= least_ratio * (c0 + 0.5) / n0:
+            rate = (c0 + c1) / (n0 + n1)
+            if 2 * (c1 * np.log(c1 / (n1 * rate)) + (c0 * np.log(c0 / (n0 * rate)) if c0 else 0.0)) >= least_gain:
+                out.add(names[r["i"]])
+    return out
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, words: set[str], rounds: int = 40, rate: float = 0.2, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +266,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, most_words: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(chain weights, moves, document weights); None if nothing is toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -283,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, most_word
     if not y[~later].any() or not y[later].any():
         later = np.zeros(len(texts), dtype=bool)
     chain = [i for i in range(len(texts)) if not later[i]]
-    words = toxic_words(texts_of.join(known, "doc_id").select("text", (F.col("toxic") == 1).alias("bad")), most_words=most_words)
+    words = toxic_words(texts_of, known, suggested(texts, y), max(sum(n for k, n in counts.items() if k != 1), 1), counts[1])
     weights, move = fit_chain([texts[i] for i in chain], y[chain], words)
     vocabulary, x = _Vocabulary(weights), []
     for t in texts:
