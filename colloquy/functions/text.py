@@ -35,8 +35,13 @@ def segmented(segment: Callable[[str], list[str]]) -> Callable:
     return run
 
 
-def counted_tokens(count: Callable[[str], int]) -> Callable:
-    """A hook for a real tokenizer; a text on which it fails counts by length."""
+def _estimate(text: str) -> int:
+    return len(text) // SETTINGS.chars_per_token
+
+
+def counted_tokens(count: Callable[[str], int], otherwise: Callable[[str], int] = _estimate) -> Callable:
+    """A hook for a real tokenizer; a text on which it fails counts as
+    ``otherwise`` says, by default its characters div 4."""
 
     @F.pandas_udf("long")
     def run(text: pd.Series) -> pd.Series:
@@ -46,7 +51,7 @@ def counted_tokens(count: Callable[[str], int]) -> Callable:
             try:
                 return count(t)
             except Exception:  # noqa: BLE001  the contract of the hook
-                return len(t) // SETTINGS.chars_per_token
+                return otherwise(t)
 
         return text.map(one)
 

@@ -44,10 +44,12 @@ def replaced(hot_rows: DataFrame, rows: DataFrame) -> DataFrame:
 
 def hot_or_cold(messages: DataFrame, sessions: DataFrame, hot_rows: DataFrame, cold_n: int = SETTINGS.cold_messages) -> DataFrame:
     """A session's hot list if it has one, else the last messages after its
-    summary from cold storage."""
-    cold = last_n(after_summary(messages.join(hot_rows.select("session_id").distinct(), "session_id", "left_anti"), sessions), cold_n)
+    summary from cold storage. One window over both tells which it is."""
     columns = ["session_id", "ordinal", "role", "content"]
-    return hot_rows.select(*columns, F.lit("hot").alias("origin")).unionByName(cold.select(*columns, F.lit("cold").alias("origin")))
+    cold = last_n(after_summary(messages, sessions), cold_n)
+    both = hot_rows.select(*columns, F.lit("hot").alias("origin")).unionByName(cold.select(*columns, F.lit("cold").alias("origin")))
+    is_hot = F.col("origin") == "hot"
+    return both.withColumn("any_hot", F.max(is_hot).over(Window.partitionBy("session_id"))).where(is_hot == F.col("any_hot")).drop("any_hot")
 
 
 def inactivity(writes: DataFrame, key: str, at: str, gap: str = "24 hours") -> DataFrame:

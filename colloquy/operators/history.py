@@ -31,7 +31,7 @@ def last_n(messages: DataFrame, n: int, by: str = "session_id") -> DataFrame:
 def of_session(messages: DataFrame, session_id: str, after=None, limit: int = 50) -> DataFrame:
     """One session, in time order, strictly after a time if one is given."""
     found = messages.where(F.col("session_id") == session_id)
-    if after:
+    if after is not None:
         found = found.where(F.col("created_at") > F.lit(after))
     return found.orderBy(*IN_TIME).limit(limit)
 

@@ -307,3 +307,56 @@ def stream_post_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = history.last_n(spark.read.parquet(f"{root}/rows/hot"), 5).select("session_id", "ordinal", F.lit("hot").alias("sink"), one)
     used = spark.read.schema("session_id string, n long").json(f"{root}/rows/usage").groupBy("session_id").agg(F.sum("n").cast("int").alias("n"))
     return cold.unionByName(hot).unionByName(used.select("session_id", F.lit(-1).cast("long").alias("ordinal"), F.lit("usage").alias("sink"), "n"))
+
+
+@_query(f"""WITH {MESSAGES} SELECT session_id, ordinal FROM messages WHERE created_at BETWEEN TIMESTAMP '2024-01-01 05:00:00' AND TIMESTAMP '2024-01-02 20:03:00'""")
+def messages_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in a range of times, both ends included."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return history.within(tables.messages(spark, sf_dir), at("2024-01-01 05:00:00"), at("2024-01-02 20:03:00")).select("session_id", "ordinal")
+
+
+@_query(f"""WITH {MESSAGES} SELECT ordinal, role, content FROM messages WHERE session_id = '7' AND created_at > TIMESTAMP '2024-01-01 07:01:00' ORDER BY created_at, ordinal LIMIT 50""")
+def one_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point read: one session's messages after a time."""
+    found = history.of_session(tables.messages(spark, sf_dir), "7", F.lit("2024-01-01 07:01:00").cast("timestamp_ntz"))
+    return found.select("ordinal", "role", "content")
+
+
+@_query("""SELECT CAST(vec_id AS VARCHAR) AS id, 'memory ' || vec_id AS memory FROM embeddings WHERE label = 3""")
+def memories_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.listed(tables.memories(spark, sf_dir)).where("user_id = '3'").select("id", "memory")
+
+
+def _words(text: str) -> int:
+    """A stand-in for a tokenizer, which fails on some texts."""
+    if len(text) % 7 == 0:
+        raise ValueError("no tokens")
+    return text.count(" ") + 1
+
+
+_SPACED = "length(text) - length(replace(text, ' ', '')) + 1"
+
+
+@_query(
+    f"""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 0 WHEN length(text) % 7 = 0 THEN length(text) // 4 ELSE {_SPACED} END AS tokens,
+       CASE WHEN text IS NULL OR text = '' THEN 0 WHEN length(text) % 7 = 0 THEN length(text) ELSE {_SPACED} END AS characters_on_failure,
+       CASE WHEN turn % 2 = 0 THEN 5 ELSE coalesce(length(text) // 4, 0) END AS filled FROM conversations"""
+)
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tokenizer in Arrow batches, two ways to go on where it fails, and
+    counts filled in where none is set."""
+    short, full = T.counted_tokens(_words), T.counted_tokens(_words, len)
+    return tables.read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", short(F.col("text")).alias("tokens"), full(F.col("text")).alias("characters_on_failure"),
+        T.filled_tokens(F.when(F.col("turn") % 2 == 0, F.lit(5).cast("long")), F.col("text")).alias("filled"),
+    )
+
+
+@_query(f"""WITH {MESSAGES} SELECT session_id, ordinal, role, content, token_count, {iso("created_at")} AS created_at, 'ä' AS note FROM messages""")
+def hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot rows as JSON, all columns but the id, read back by field."""
+    rows = tables.messages(spark, sf_dir).select(F.lit("x").alias("id"), "session_id", "ordinal", "role", "content", "token_count", T.iso(F.col("created_at")).alias("created_at"), F.lit("ä").alias("note"))
+    kept = [c for c in rows.columns if c != "id"]
+    made = rows.select(F.to_json(F.struct(*kept)).alias("row"))
+    return made.select(F.from_json("row", rows.select(*kept).schema).alias("r")).select("r.*")
