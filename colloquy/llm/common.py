@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over the cores where its files give a quarter of them or
+    fewer a task, as one small file of a single row group does. Tables of many
+    files are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 #: Folders of local sessions that name none, by application id.
 _OWN: dict[str, str] = {}
 #: Stashes of the innermost ``temporary`` block.

@@ -105,19 +105,17 @@ def grams(host: str, path: str, least: int = 3, most: int = 5) -> np.ndarray:
 def fit(rows: list[tuple[str, int]], rounds: int = 600, rate: float = 0.5, ridge: float = 3e-4) -> np.ndarray:
     """Weights, the bias last, by full-batch gradient descent."""
     seen = [grams(*split_url(url)) for url, _ in rows]
-    used = np.unique(np.concatenate([*seen, [1 << BITS]]))  # the last one is the bias
-    x = np.zeros((len(rows), len(used)))
-    for i, g in enumerate(seen):
-        x[i, np.searchsorted(used, g)] = 1 / np.sqrt(max(len(g), 1))
-    x[:, -1] = 1
+    count = np.array([len(g) for g in seen])
+    of, flat = np.repeat(np.arange(len(rows)), count), np.concatenate(seen)
+    value = 1 / np.sqrt(count[of])
     y = np.array([label for _, label in rows], dtype=float)
-    w = np.zeros(x.shape[1])
+    w, bias = np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= rate * (x.T @ (p - y) / len(y) * 10 + ridge * w)
-    out = np.zeros((1 << BITS) + 1)
-    out[used] = w
-    return out
+        p = 1 / (1 + np.exp(-(np.bincount(of, weights=w[flat] * value, minlength=len(rows)) + bias)))
+        slack = (p - y) / len(y) * 10
+        w -= rate * (np.bincount(flat, weights=slack[of] * value, minlength=len(w)) + ridge * w)
+        bias -= rate * (slack.sum() + ridge * bias)
+    return np.append(w, bias)
 
 
 def probability(weights: np.ndarray, host: str, path: str) -> float:
