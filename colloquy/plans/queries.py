@@ -370,14 +370,17 @@ def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_DELTAS}, c AS (SELECT call, index, coalesce(max_by(id, seq) FILTER (WHERE id <> ''), '') AS id FROM d GROUP BY ALL)
-SELECT call, count(*) AS n_calls, string_agg(id, ',' ORDER BY id) AS ids FROM c GROUP BY 1"""
+    f"""WITH {_DELTAS}, c AS (
+  SELECT call, index, coalesce(max_by(id, seq) FILTER (WHERE id <> ''), '') AS id, coalesce(string_agg(name, '' ORDER BY seq, name), '') AS name FROM d GROUP BY call, index
+)
+SELECT call, count(*) AS n_calls, string_agg(id, ',' ORDER BY id, name) AS ids, string_agg('function ' || name, ',' ORDER BY id, name) AS functions FROM c GROUP BY 1"""
 )
 def tool_call_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The protocol's array of each call's tool calls, by id as a string."""
     found = fragments.call_arrays(fragments.calls(tables.deltas(spark, sf_dir)))
     ids = F.array_join(F.transform("tool_calls", lambda c: c["id"]), ",")
-    return found.select("call", F.size("tool_calls").cast("long").alias("n_calls"), ids.alias("ids"))
+    functions = F.array_join(F.transform("tool_calls", lambda c: F.concat_ws(" ", c["type"], c["function"]["name"])), ",")
+    return found.select("call", F.size("tool_calls").cast("long").alias("n_calls"), ids.alias("ids"), functions.alias("functions"))
 
 
 @_query(
