@@ -172,7 +172,7 @@ def _depth(n: int, parts: int, node_rows: int, least_rows: int) -> int:
     return min(32, max(for_size, min(for_parts, (max(n, 1) // least_rows).bit_length())))
 
 
-def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 1 << 20, least_rows: int = 1 << 14) -> DataFrame:
+def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 1 << 20, least_rows: int = 1 << 12) -> DataFrame:
     """(u, v): a spanning forest, task by task, of all links within ``budget``
     bits among the distinct ``fp`` of ``prints``."""
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
