@@ -219,7 +219,7 @@ def fitted(items: list[np.ndarray], allowed: list[int], members: np.ndarray, n_w
     return Sizes(least, slack, members, tables, float(found.mean()))
 
 
-def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float = 0.95) -> Index:
+def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float = 0.98) -> Index:
     number: dict[str, int] = {}
     ids, items, allowed = [], [], []
     for item_id, text in rows:
@@ -354,7 +354,7 @@ def _found(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
             held, at, chars = [], i + 1, 0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.95, block_items: int = 20000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.98, block_items: int = 20000) -> DataFrame:
     """(doc_id, item_id, edits, start_word, end_word): a row for each item
     that a document holds."""
     asked, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
@@ -372,7 +372,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, r
     return out.join(_items(benchmark).select("item_id", "item_key"), "item_key").select("doc_id", "item_id", "edits", "start_word", "end_word")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.95, block_items: int = 20000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, likeness: float = 0.8, recall: float = 0.98, block_items: int = 20000) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item. Each row
     is judged by its own text where it is read; nothing is shuffled."""
     at = docs.columns.index("text")
