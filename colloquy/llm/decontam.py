@@ -12,10 +12,10 @@ many edits as are allowed, are found with the wanted recall, or the build
 fails. What collides is verified by exact edit distance against the text
 around the window; nothing else leads to a verification.
 
-Two counts leave out windows that cannot hold an item, and lose nothing: a
-stretch with k edits has all but k of its first words in common with an item,
-so places where more of the words are no item's are not walked; and a collision
-with too few of its own item's words around it is not verified.
+Two counts leave out windows that cannot hold an item, and lose nothing: where
+a stretch within k edits of an item of n words begins, all but k of the next n
+words are words of items, so other places are not walked; and a collision with
+too few of its own item's words around it is not verified.
 
 Items of like sizes (within a factor of 1.4) share sampled steps, all below 1.5
 times the least size, where most walks are still inside the item. A walk from
@@ -55,8 +55,8 @@ def words(text: str | None) -> list[str]:
 
 
 def coins(turn: int, n_words: int, steps: int) -> np.ndarray:
-    """(steps / 8, words) uint8: a fair bit of (repetition, step, word)."""
-    return np.random.default_rng([_SEED, turn]).integers(0, 256, (steps // 8 + 1, n_words), dtype=np.uint8)
+    """(steps / 32, words) uint32: a fair bit of (repetition, step, word)."""
+    return np.random.default_rng([_SEED, turn]).integers(0, 1 << 32, (steps // 32 + 1, n_words), dtype=np.uint32)
 
 
 def sampled_steps(least: int, turn: int, bits: int) -> list[int]:
@@ -84,7 +84,7 @@ def walk(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, coin: np.ndarra
             if s == t:
                 seen.append(word)
                 valid &= inside
-        at = at + ((coin[t >> 3, word] >> np.uint8(t & 7)) & 1)
+        at = at + ((coin[t >> 5, word] >> np.uint32(t & 31)) & 1)
     keys = np.zeros(len(starts), dtype=np.uint32)
     for nth in range(len(steps) - 1, -1, -1):
         keys = _with(keys, seen[nth], nth)
@@ -93,14 +93,14 @@ def walk(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, coin: np.ndarra
 
 def walk_all(coded: np.ndarray, thrown: list[np.ndarray], steps: list[int]) -> np.ndarray:
     """``walk`` from every place of ``coded`` but the last ``steps[-1]``.
-    ``thrown`` holds the coins of eight steps at each place."""
+    ``thrown`` holds the coins of 32 steps at each place."""
     last, nth, n = steps[-1], len(steps) - 1, len(coded)
-    keys, other, go, bit = np.zeros(n, dtype=np.uint32), np.empty(n, dtype=np.uint32), np.empty(n, dtype=bool), np.empty(n, dtype=np.uint8)
+    keys, other, go = np.zeros(n, dtype=np.uint32), np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint32)
     for t in range(last, -1, -1):
         if t < last:
             n -= 1
-            np.bitwise_and(thrown[t >> 3][:n], np.uint8(1 << (t & 7)), out=bit[:n])
-            np.not_equal(bit[:n], 0, out=go[:n])
+            np.right_shift(thrown[t >> 5][:n], np.uint32(t & 31), out=go[:n])
+            np.bitwise_and(go[:n], np.uint32(1), out=go[:n])
             np.bitwise_xor(keys[1 : n + 1], keys[:n], out=other[:n])
             np.multiply(other[:n], go[:n], out=other[:n])
             np.bitwise_xor(other[:n], keys[:n], out=other[:n])
@@ -150,12 +150,19 @@ def _edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> list[int
 class Sizes:
     """Items of like sizes with the LSH table of each of their repetitions."""
 
-    least: int
-    slack: int  # most allowed edits
+    sizes: list[tuple[int, int]]  # each with its allowed edits
     members: np.ndarray
     tables: list[tuple[list[int], np.ndarray, np.ndarray]]  # steps, sorted keys, their items
     recall: float
 
+    @property
+    def least(self) -> int:
+        return self.sizes[0][0]
+
+    @property
+    def slack(self) -> int:
+        return max(k for _, k in self.sizes)
+
 
 @dataclass
 class Index:
@@ -216,7 +223,7 @@ def fitted(items: list[np.ndarray], allowed: list[int], members: np.ndarray, n_w
         order = np.argsort(keys[valid], kind="stable")
         tables.append((steps, keys[valid][order], members[valid][order]))
         turn += 1
-    return Sizes(least, slack, members, tables, float(found.mean()))
+    return Sizes(sorted({(len(items[i]), allowed[i]) for i in members}), members, tables, float(found.mean()))
 
 
 def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float = 0.98) -> Index:
@@ -239,13 +246,15 @@ def build(rows: list[tuple], likeness: float = 0.8, bits: int = 3, recall: float
 def _walked(group: Sizes, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, begin): the places of windows that may hold an item, with the
     words that their walks can reach, and which of them begin such a window."""
-    n, k, size = group.least, group.slack, len(coded) + 1
-    known = np.append(0, np.cumsum(coded > 0))
-    at = np.flatnonzero(known[n:] - known[:-n] >= n - k)
+    k, size = group.slack, len(coded) + 1
+    known, may = np.append(0, np.cumsum(coded > 0)), np.zeros(len(coded) + 1, dtype=bool)
+    for n, edits in group.sizes:
+        may[: max(size - n, 0)] |= known[n:] - known[:-n] >= n - edits
+    at = np.flatnonzero(may)
     first, last = np.maximum(at - k, 0), np.minimum(at + k + 1, size - 1)
     opened = np.bincount(first, minlength=size)
     begin = np.cumsum(opened - np.bincount(last, minlength=size))[:-1] > 0
-    reach = np.cumsum(opened - np.bincount(np.minimum(last + 3 * n // 2, size - 1), minlength=size))[:-1] > 0
+    reach = np.cumsum(opened - np.bincount(np.minimum(last + 3 * group.least // 2, size - 1), minlength=size))[:-1] > 0
     places = np.flatnonzero(reach)
     return places, begin[places]
 
@@ -260,7 +269,7 @@ def candidates(index: Index, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             if len(part) <= steps[-1] or not len(keys):
                 continue
             coin = index.coins(turn)
-            got = walk_all(part, [coin[k].take(part, mode="clip") for k in range((steps[-1] >> 3) + 1)], steps)
+            got = walk_all(part, [coin[k].take(part, mode="clip") for k in range((steps[-1] >> 5) + 1)], steps)
             hit = index.present(g, turn).take(got & np.uint32(0x3FFFF), mode="clip")
             at = np.flatnonzero(hit & begin[: len(got)])
             low, high = np.searchsorted(keys, got[at], "left"), np.searchsorted(keys, got[at], "right")
@@ -292,7 +301,7 @@ def search(index: Index, texts: list[str], block: int = 1 << 16) -> list[tuple[i
     stretch in each text, if it is within the item's allowed edits."""
     number, slack = index.number, max(index.allowed, default=0)
     tokens = [[number.get(w, 0) for w in words(t)] for t in texts]
-    room = max((3 * g.least // 2 + 2 * g.slack for g in index.groups), default=0)
+    room = max((max(3 * g.least // 2, g.sizes[-1][0]) + 2 * g.slack for g in index.groups), default=0)
     first, flat = [], []
     for w in tokens:
         flat += [0] * slack  # windows may begin before the text
