@@ -45,8 +45,18 @@ _TOKEN = re.compile(WORD)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def tokens_of(text: str | bytes | None) -> list[bytes]:
+    """The words of a text, as UTF-8; bytes split at ASCII white space only."""
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").split()
+
+
+def _read(token: bytes) -> str:
+    return token.decode("utf-8", "surrogatepass")
+
+
 def bare(token: str) -> str:
-    return _EDGE.sub("", token.lower())
+    low = token.lower()
+    return low if low.isalnum() else _EDGE.sub("", low)
 
 
 def parts(token: str) -> list[str]:
@@ -56,8 +66,12 @@ def parts(token: str) -> list[str]:
     return ["w=" + w, "s=" + w[-3:], f"n={n if n < 8 else 8}", "c=1" if token[:1].isupper() else "c=0", *["p=" + w[:k] for k in STEMS if n > k]]
 
 
+_BUCKETS = (1 << BITS) - 1
+_WHOLE, _TAIL, _HEAD = zlib.crc32(b"w="), zlib.crc32(b"s="), zlib.crc32(b"p=")
+
+
 def bucket(part: str) -> int:
-    return 1 + zlib.crc32(part.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1)
+    return 1 + zlib.crc32(part.encode("utf-8", "surrogatepass")) % _BUCKETS
 
 
 def features(token: str) -> list[int]:
@@ -71,33 +85,75 @@ def sentences(ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ends[:-1])) if len(ends) else np.zeros(0, dtype=np.int64)
 
 
-def forward_backward(unary: np.ndarray, starts: np.ndarray, move: np.ndarray, pairs: bool = False):
+def _rounds(length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(step, which pieces are longer than it), pieces by falling length."""
+    order = np.argsort(-length, kind="stable")
+    active = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), side="left")
+    for t, k in enumerate(active):
+        yield t, order[:k]
+
+
+def forward_backward(unary: np.ndarray, starts: np.ndarray, move: np.ndarray, pairs: bool = False, span: int = 256):
     """Marginals of label 1 for all tokens; with ``pairs`` also the expected
     counts of the four moves and of a first token with label 1. ``unary`` is
     the score of label 1 over label 0; ``move`` holds the 2 x 2 move scores
-    and the score of starting with 1."""
+    and the score of starting with 1.
+
+    All chains go one step at a time together. A chain of more than ``span``
+    tokens goes in pieces at once: the product of a piece's 2 x 2 moves takes a
+    message across it, so the result is that of the whole chain."""
     n = len(unary)
     if not n:
         return (np.zeros(0), np.zeros((2, 2)), 0.0) if pairs else np.zeros(0)
-    lengths = np.diff(np.append(starts, n))
-    order = np.argsort(-lengths, kind="stable")
-    first, length = starts[order], lengths[order]
+    count = -(-np.diff(np.append(starts, n)) // span)
+    opens = np.zeros(int(count.sum()), dtype=bool)
+    opens[np.cumsum(count) - count] = True
+    piece = np.repeat(starts, count) + span * (np.arange(len(opens)) - np.repeat(np.cumsum(count) - count, count))
+    length = np.diff(np.append(piece, n))
     m, e = np.exp(move[:4].reshape(2, 2)), np.exp(np.clip(unary, -40, 40))
     a1, b1 = np.empty(n), np.empty(n)  # of label 1, where those of label 0 are 1 - a1, 1 - b1
-    x = e[first] * np.exp(move[4])
-    a1[first] = x / (1 + x)
-    active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    for t in range(1, length[0]):
-        at = first[: active[t]] + t
-        p = a1[at - 1]
+
+    def onward(p: np.ndarray, at: np.ndarray) -> np.ndarray:
         zero, one = (1 - p) * m[0, 0] + p * m[1, 0], ((1 - p) * m[0, 1] + p * m[1, 1]) * e[at]
-        a1[at] = one / (zero + one)
-    b1[first + length - 1] = 0.5
-    for t in range(length[0] - 1, 0, -1):
-        at = first[: active[t]] + t
-        q = b1[at]
-        zero, one = (1 - q) * m[0, 0] + q * e[at] * m[0, 1], (1 - q) * m[1, 0] + q * e[at] * m[1, 1]
-        b1[at - 1] = one / (zero + one)
+        return one / (zero + one)
+
+    def forward(which: np.ndarray, before: np.ndarray | None) -> None:
+        for t, of in _rounds(length[which]):
+            at = piece[which[of]] + t
+            if t:
+                a1[at] = onward(a1[at - 1], at)
+            elif before is None:
+                x = e[at] * np.exp(move[4])
+                a1[at] = x / (1 + x)
+            else:
+                a1[at] = onward(before[of], at)
+
+    forward(np.flatnonzero(opens), None)
+    after = np.full(len(piece), 0.5)  # the backward message at each piece's last token
+    rest = np.flatnonzero(~opens)
+    if len(rest):
+        across = np.tile(np.eye(2), (len(rest), 1, 1))
+        for t, of in _rounds(length[rest]):
+            across[of] = across[of] @ m
+            across[of, :, 1] *= e[piece[rest[of]] + t, None]
+            across[of] /= across[of].sum(axis=(1, 2), keepdims=True)
+        before, ends = np.empty(len(rest)), {}
+        for i, k in enumerate(rest.tolist()):
+            before[i] = a1[piece[k] - 1] if opens[k - 1] else ends[k - 1]
+            row = np.array([1 - before[i], before[i]]) @ across[i]
+            ends[k] = row[1] / row.sum()
+        for i in range(len(rest) - 1, -1, -1):
+            k = rest[i]
+            column = across[i] @ np.array([1 - after[k], after[k]])
+            after[k - 1] = column[1] / column.sum()
+        forward(rest, before)
+    b1[piece + length - 1] = after
+    for t, of in _rounds(length):
+        if t:
+            at = piece[of] + length[of] - t
+            q = b1[at]
+            zero, one = (1 - q) * m[0, 0] + q * e[at] * m[0, 1], (1 - q) * m[1, 0] + q * e[at] * m[1, 1]
+            b1[at - 1] = one / (zero + one)
     on, off = a1 * b1, (1 - a1) * (1 - b1)
     marginal = on / (on + off)
     if not pairs:
@@ -112,16 +168,19 @@ def forward_backward(unary: np.ndarray, starts: np.ndarray, move: np.ndarray, pa
 
 
 class _Vocabulary:
-    """Tokens by number, each with its features and whether it ends a sentence."""
+    """Tokens by number, each with its features, or its score where weights are
+    given, and whether it ends a sentence."""
 
     def __init__(self, weights: np.ndarray | None = None, most: int = 500_000):
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.rows: list[list[int]] = []
         self.unary, self.ends = array("d"), bytearray()
         self.weights, self.most = weights, most
-        self.known: dict[str, float] = {}  # scores of features, by their names
+        if weights is not None:
+            self.table = weights.tolist()
+            self.shape = [[self.table[bucket(f"n={n}")] + self.table[bucket(f"c={c}")] for c in (0, 1)] for n in range(9)]
 
-    def tokens(self, words: list[str]) -> np.ndarray:
+    def tokens(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > self.most:  # only spares work
             self.__init__(self.weights, self.most)
         number = self.number
@@ -132,25 +191,32 @@ class _Vocabulary:
                     found[i] = self._add(words[i])
         return np.array(found, dtype=np.int64)
 
-    def _add(self, word: str) -> int:
+    def _add(self, word: bytes) -> int:
         k = self.number.setdefault(word, len(self.number))
         if k == len(self.ends):
-            self.ends.append(word.endswith((".", "!", "?")))
+            self.ends.append(word.endswith((b".", b"!", b"?")))
             if self.weights is None:
-                self.rows.append(features(word))
+                self.rows.append(features(_read(word)))
             else:
-                self.unary.append(self._score(word))
+                self.unary.append(self._score(_read(word)))
         return k
 
     def _score(self, word: str) -> float:
-        known, named = self.known, parts(word)
-        total = (4 + len(STEMS) - len(named)) * float(self.weights[0])
-        for x in named:
-            v = known.get(x)
-            if v is None:
-                v = known[x] = float(self.weights[bucket(x)])
-            total += v
-        return total
+        """The sum of the weights of ``features``; a checksum goes on from one
+        beginning of the word to the next."""
+        table, crc32, w = self.table, zlib.crc32, bare(word)
+        n, raw = len(w), w.encode("utf-8", "surrogatepass")
+        plain = raw if len(raw) == n else None
+        tail = raw[-3:] if plain else w[-3:].encode("utf-8", "surrogatepass")
+        total = table[1 + crc32(raw, _WHOLE) % _BUCKETS] + table[1 + crc32(tail, _TAIL) % _BUCKETS] + self.shape[min(n, 8)][word[:1].isupper()]
+        crc, last, left = _HEAD, 0, len(STEMS)
+        for k in STEMS:
+            if n <= k:
+                break
+            crc = crc32(plain[last:k] if plain else w[last:k].encode("utf-8", "surrogatepass"), crc)
+            total += table[1 + crc % _BUCKETS]
+            last, left = k, left - 1
+        return total + left * table[0]
 
     def ending(self, k: np.ndarray) -> np.ndarray:
         return np.frombuffer(self.ends, dtype=bool)[k]
@@ -164,12 +230,12 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if 4 <= n < len(word))]
 
 
-def suggested(texts: list[str], labels: np.ndarray, least: int = 2, ratio: float = 2.0) -> list[str]:
+def suggested(texts: list[str], labels: np.ndarray, least: int = 3, ratio: float = 4.0) -> list[str]:
     """Words and beginnings that ``least`` toxic documents of the sample hold,
     at ``ratio`` times the rate of the others: much looser than what decides."""
     by = (Counter(), Counter())
     for t, y in zip(texts, labels, strict=True):
-        by[int(y)].update({x for w in {bare(w) for w in _TOKEN.findall(t)} if w for x in stems(w)})
+        by[int(y)].update({x for w in {bare(_read(w)) for w in set(tokens_of(t))} if w for x in stems(w)})
     n0, n1 = max(int((labels == 0).sum()), 1), max(int((labels == 1).sum()), 1)
     return sorted(x for x, c in by[1].items() if c >= least and c / n1 >= ratio * (by[0][x] + 0.5) / n0)
 
@@ -183,14 +249,16 @@ def toxic_words(docs: DataFrame, known: DataFrame, names: list[str], n0: int, n1
     shared = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = shared.value, {}
+        number, seen, none = shared.value, {}, ()
+        heads = {x[:4] for x in number}
         for b in it:
             found = []
-            for t in b.column(1):
+            for t in b.column(1).cast(pa.binary()).to_pylist():
                 here: set[int] = set()
-                for w in set(_TOKEN.findall(t.as_py() or "")):
-                    if (got := seen.get(w)) is None:
-                        got = seen[w] = [number[x] for x in stems(bare(w)) if x in number]
+                for token in set(tokens_of(t)):
+                    if (got := seen.get(token)) is None:
+                        w = bare(_read(token))
+                        got = seen[token] = [number[x] for x in stems(w) if x in number] if w[:4] in heads else none
                     if got:
                         here.update(got)
                 found.append(list(here))
@@ -214,11 +282,11 @@ def fit_chain(texts: list[str], labels: np.ndarray, words: set[str], rounds: int
     """(weights, moves) of greatest conditional likelihood, by Adam."""
     vocabulary, number, tagged, first, at = _Vocabulary(most=1 << 62), [], [], [], 0
     for t, y in zip(texts, labels, strict=True):
-        tokens = _TOKEN.findall(t)
+        tokens = tokens_of(t)
         k = vocabulary.tokens(tokens)
         starts = sentences(vocabulary.ending(k)) if len(k) else np.zeros(0, dtype=np.int64)
         number.append(k)
-        tagged.append(np.array([bool(y) and not words.isdisjoint(stems(bare(w))) for w in tokens], dtype=bool))
+        tagged.append(np.array([bool(y) and not words.isdisjoint(stems(bare(_read(w)))) for w in tokens], dtype=bool))
         first.append(starts + at)
         at += len(k)
     k, y, first = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (number, tagged, first))
@@ -291,12 +359,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> tuple[
     weights, move = fit_chain([texts[i] for i in chain], y[chain], words)
     vocabulary, x = _Vocabulary(weights), []
     for t in texts:
-        p, _ = _marginals([_TOKEN.findall(t)], vocabulary, move)
+        p, _ = _marginals([tokens_of(t)], vocabulary, move)
         x.append(summary(p))
     return weights, move, fit_document(np.array(x), y)
 
 
-def _marginals(docs: list[list[str]], vocabulary: _Vocabulary, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _marginals(docs: list[list[bytes]], vocabulary: _Vocabulary, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all tokens of ``docs`` in a row, and where each begins."""
     first = np.cumsum([0, *map(len, docs)])
     k = vocabulary.tokens([w for d in docs for w in d])
@@ -309,22 +377,23 @@ def _marginals(docs: list[list[str]], vocabulary: _Vocabulary, move: np.ndarray)
 
 
 def _judge(texts: pa.Array, model: tuple, vocabulary: _Vocabulary) -> Iterator[tuple[float, list]]:
-    """(score, spans) of each text, about half a million characters at a time."""
-    held, chars = [], 0
-    for i in range(len(texts)):
-        held.append(texts[i].as_py() or "")
-        chars += len(held[-1])
-        if chars < 500_000 and i + 1 < len(texts):
+    """(score, spans) of each text, about half a million bytes at a time."""
+    held, size = [], 0
+    raw = texts.cast(pa.binary())
+    for i in range(len(raw)):
+        held.append(raw[i].as_py() or b"")
+        size += len(held[-1])
+        if size < 500_000 and i + 1 < len(raw):
             continue
-        p, first = _marginals([_TOKEN.findall(t) for t in held], vocabulary, model[1])
+        p, first = _marginals([tokens_of(t) for t in held], vocabulary, model[1])
         for k, t in enumerate(held):
             own = p[first[k] : first[k + 1]]
             x = model[2][0] + np.dot(model[2][1:], summary(own))
             hit = np.flatnonzero(own >= 0.5)
-            places = [m.span() for m in _TOKEN.finditer(t)] if len(hit) else []
+            places = [m.span() for m in _TOKEN.finditer(_read(t))] if len(hit) else []
             spans = [{"start": places[h][0], "end": places[h][1], "marginal": float(own[h])} for h in hit]
             yield float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), spans
-        held, chars = [], 0
+        held, size = [], 0
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000) -> DataFrame:

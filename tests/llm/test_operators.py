@@ -644,6 +644,18 @@ def test_forward_backward_is_brute_force():
             for a, b in zip(p, p[1:], strict=False):
                 pairs[a, b] += w
     assert np.allclose(got, want) and np.allclose(cells, pairs) and np.isclose(first, begun)
+    for span in (1, 2, 3):
+        some, other, begin = toxicity.forward_backward(unary, starts, move, pairs=True, span=span)
+        assert np.allclose(some, want) and np.allclose(other, pairs) and np.isclose(begin, begun)
+
+
+def test_long_chains_are_whole():
+    rng = np.random.default_rng(4)
+    unary, move = rng.normal(size=5000) * 3, rng.normal(size=5) * 2
+    starts = np.array([0, 1, 900, 901, 1157, 4000])
+    whole = toxicity.forward_backward(unary, starts, move, span=1 << 30)
+    for span in (1, 7, 256, 257):
+        assert np.allclose(toxicity.forward_backward(unary, starts, move, span=span), whole, atol=1e-12)
 
 
 def test_toxicity_edges(spark):
