@@ -64,10 +64,10 @@ def hot_lists(messages: DataFrame, n: int = SETTINGS.hot_messages, seconds: int
         for rows in batches:
             held += json.loads(rows.drop(columns="session_id").to_json(orient="records", date_format="iso", date_unit="us"))
             held, version = sorted(held, key=lambda x: x["ordinal"])[-n:], version + len(rows)
-        state.update((json.dumps(held), version))
+        state.update((json.dumps(held, ensure_ascii=False), version))
         if seconds is not None:
             state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"session_id": [key[0]], "version": [version], "messages": [json.dumps(held)]})
+        yield pd.DataFrame({"session_id": [key[0]], "version": [version], "messages": [json.dumps(held, ensure_ascii=False)]})
 
     return messages.groupBy("session_id").applyInPandasWithState(
         keep, "session_id string, version long, messages string", "held string, version long", "append", GroupStateTimeout.NoTimeout if seconds is None else GroupStateTimeout.ProcessingTimeTimeout
