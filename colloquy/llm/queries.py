@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, langid, linededup, mixing, quality, secrets, simhash, toxicity, urls
+from . import decontam, extraction, langid, linededup, mixing, negatives, quality, secrets, simhash, toxicity, urls
 from .common import spread, table
 
 
@@ -55,12 +55,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_url_filter, op5_html_text,
-        op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination,
+        op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination, op12_hard_negatives,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.oracle()}
+    return {"op2_quality_rules": quality.oracle(), "op12_hard_negatives": negatives.oracle()}
