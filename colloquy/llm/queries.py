@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, langid, linededup, mixing, negatives, quality, secrets, simhash, toxicity, urls
+from . import alignment, decontam, extraction, langid, linededup, mixing, negatives, quality, secrets, simhash, toxicity, urls
 from .common import spread, table
 
 
@@ -59,10 +59,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spread(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_url_filter, op5_html_text,
         op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination, op12_hard_negatives,
+        op13_token_alignment,
     )}
 
 
