@@ -58,36 +58,62 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: the pattern by which byte-level vocabularies split a text.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranked(given: dict, bytes_a: list[bytes]) -> dict[bytes, int] | None:
+    """Bytes -> id, if the merges stand in the order of their ids, so that the
+    ids alone tell which merge comes first."""
+    model, split = given["model"], given.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or given.get("normalizer") or model.get("type", "BPE") != "BPE":
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(p)] for p in pairs]
+    base = len(model["vocab"]) - len(made)
+    if base != 256 or made != list(range(256, 256 + len(made))):
+        return None
+    return {bytes_a[i]: i for i in model["vocab"].values()}
+
+
 class Encoders:
-    """Both tokenizers; for each side the ids of texts and every id's bytes."""
+    """Both tokenizers, and every id's bytes. Side A runs in tiktoken, which
+    takes its merges from the ids; a file whose merges are in another order, or
+    that splits texts otherwise, runs in tokenizers."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_buffer(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        alphabet = byte_alphabet()
+        alphabet, given = byte_alphabet(), json.loads(a)
         vocabulary = self.a.get_vocab(with_added_tokens=True)
-        added = {x["content"] for x in json.loads(a)["added_tokens"]}
+        added = {x["content"] for x in given["added_tokens"]}
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = token.encode() if token in added else bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in known], dtype=np.int64) for known in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = ([str(i) for i in range(len(known))] for known in (self.bytes_a, self.bytes_b))
+        ranks = _ranked(given, self.bytes_a)
+        self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        # An id as text with what follows it: the next id, side B, the next group.
+        self.names = [f"{i}{end}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for end in ",|;"]
 
-    def __call__(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(A ids, B ids) of each text; two empty lists where the tokens do not
+    def ids_a(self, text: str) -> list[int]:
+        return self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+        """(A ids of " " + text, B ids of text); none where the tokens do not
         give back a space and the text."""
-        found = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            want, ids = b" " + text.encode(), a.ids
-            whole = bool(text) and b"".join([self.bytes_a[i] for i in ids]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-            found.append((ids, b) if whole else ([], []))
-        return found
+        if not text:
+            return [], []
+        want, a, b = b" " + text.encode(), self.ids_a(" " + text), self.b.encode(text)
+        whole = b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
+        return (a, b) if whole else ([], [])
 
 
 def aligned(enc: Encoders, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray]:
@@ -96,17 +122,19 @@ def aligned(enc: Encoders, a: list[int], b: list[int]) -> tuple[int, str, np.nda
         return 0, "", np.zeros(0, dtype=np.int64)
     ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
     ends_a, ends_b = np.cumsum(enc.size_a[ids_a]), np.cumsum(enc.size_b[ids_b])
-    last_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
-    last_b = np.searchsorted(ends_b, ends_a[last_a])
-    names_a, names_b = [enc.name_a[i] for i in a], [enc.name_b[i] for i in b]
-    groups, i, j = [], 0, 0
-    for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-        groups.append((names_a[i] if x - i == 1 else ",".join(names_a[i:x])) + "|" + (names_b[j] if y - j == 1 else ",".join(names_b[j:y])))
-        i, j = x, y
-    return len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), pair_key(ids_a[last_a], ids_b[last_b])
-
-
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    ends = np.zeros((2, ends_a[-1] + 1), dtype=bool)
+    ends[0, ends_a] = ends[1, ends_b] = True
+    last_a, last_b = ends[1, ends_a], ends[0, ends_b]
+    # Tokens by group, A before B, each with the mark that follows it.
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    name = np.concatenate([3 * ids_a + last_a, 3 * ids_b + 2 * last_b])[order]
+    text = "".join([enc.names[i] for i in name.tolist()])[:-1]
+    return int(last_a.sum()), hashlib.sha256(text.encode()).hexdigest(), pair_key(ids_a[last_a], ids_b[last_b])
+
+
+def pair_key(a, b):
+    """Of ids or arrays of them: bucket, B id, A id."""
     return (b & (BUCKETS - 1)) << (2 * _SHIFT) | b << _SHIFT | a
 
 
@@ -216,7 +244,7 @@ def contributions(runs: list[Run], totals: list[Run]) -> tuple[np.ndarray, np.nd
     return rows[first], *np.add.reduceat(given, first, axis=1)
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARIES, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", buffer_links: int = 1 << 21) -> DataFrame:
+def encoded(docs: DataFrame, path: str = VOCABULARIES, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", buffer_links: int = 1 << 20) -> DataFrame:
     """A row of kind 0 for each document, and rows of kind 1, the runs."""
     spark = docs.sparkSession
     files = spark.sparkContext.broadcast((Path(path, a).read_bytes(), Path(path, b).read_bytes()))
@@ -233,26 +261,20 @@ def encoded(docs: DataFrame, path: str = VOCABULARIES, a: str = "byte_bpe_50k.js
                 yield pa.RecordBatch.from_pylist([{"kind": 1, "row": int(run.rows.min()), "bucket": bucket, "records": len(run.rows), "run": run.packed()}], schema)
 
         for batch in it:
-            row, doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t.as_py() or "" for t in batch.column(2)]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= 500_000):
-                    chars += len(texts[end])
-                    end += 1
-                out = []
-                for k, (ids_a, ids_b) in zip(range(at, end), enc(texts[at:end]), strict=True):
-                    n, digest, links = aligned(enc, ids_a, ids_b)
-                    out.append({"kind": 0, "row": row[k], "doc_id": doc[k], "n_a": len(ids_a), "n_b": len(ids_b), "n_groups": n, "n_links": len(links), "groups_sha256": digest})
-                    if len(links):
-                        keys.append(links)
-                        rows.append(np.full(len(links), row[k], dtype=np.int64))
-                        held += len(links)
-                yield pa.RecordBatch.from_pylist(out, schema)
+            row, doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            out = []
+            for k in range(len(row)):
+                ids_a, ids_b = enc(texts[k].as_py())
+                n, digest, links = aligned(enc, ids_a, ids_b)
+                out.append({"kind": 0, "row": row[k], "doc_id": doc[k], "n_a": len(ids_a), "n_b": len(ids_b), "n_groups": n, "n_links": len(links), "groups_sha256": digest})
+                if n:
+                    keys.append(links)
+                    rows.append(np.full(n, row[k], dtype=np.int64))
+                    held += n
                 if held >= buffer_links:
                     yield from spilled()
                     keys, rows, held = [], [], 0
-                at = end
+            yield pa.RecordBatch.from_pylist(out, schema)
         if held:
             yield from spilled()
 
@@ -317,7 +339,7 @@ def _totals(counts: DataFrame, block: int = 1 << 20) -> DataFrame:
     return summed.sortWithinPartitions("bucket", "pair").mapInArrow(pack, "bucket int, run binary")
 
 
-def align(docs: DataFrame, path: str = VOCABULARIES, bucket_records: int = 1 << 21, buffer_links: int = 1 << 21) -> DataFrame:
+def align(docs: DataFrame, path: str = VOCABULARIES, bucket_records: int = 1 << 21, buffer_links: int = 1 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)
     of every row of ``docs``."""
     spark = docs.sparkSession

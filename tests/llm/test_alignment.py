@@ -1,7 +1,9 @@
 """Token alignment against a plain count over all documents."""
 
 import hashlib
+import json
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -39,8 +41,9 @@ def plain(enc, rows):
             ends.append(own)
         both = [x for x in ends[0] if x in ends[1]]
         links.append([(ends[0][x], ends[1][x]) for x in both])
-        cut = lambda own, lo, hi: ",".join(str(own[x]) for x in own if lo < x <= hi)
-        groups.append([f"{cut(ends[0], lo, hi)}|{cut(ends[1], lo, hi)}" for lo, hi in zip([0, *both], both, strict=False)])
+        places = [list(own) for own in ends]
+        cut = lambda k, lo, hi: ",".join(str(ends[k][x]) for x in places[k][bisect_right(places[k], lo) : bisect_right(places[k], hi)])
+        groups.append([f"{cut(0, lo, hi)}|{cut(1, lo, hi)}" for lo, hi in zip([0, *both], both, strict=False)])
     count = Counter(p for own in links for p in own)
     best = defaultdict(int)
     for (_, b), n in count.items():
@@ -80,7 +83,20 @@ def test_odd_rows(spark, enc):
 
 def test_every_byte_has_a_character(enc):
     assert sorted(alignment.byte_alphabet().values()) == list(range(256))
-    assert all(enc.size_a[:50256] > 0) and all(enc.size_b > 0)
+    assert all(enc.bytes_a) and all(enc.bytes_b)
+
+
+def test_side_a_gives_what_its_file_says(enc, spark, sf_dir):
+    rng = random.Random(8)
+    marks = " \n\t\r\x0b\x1c\x85\u00a0\u2028\u3000aZéß'’0½Ⅷ你的\U0001f600\u0301.,-_\x00"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    assert enc.fast is not None
+    for t in texts:
+        assert enc.ids_a(" " + t) == enc.a.encode(" " + t, add_special_tokens=False).ids
+    other = json.loads(Path(VOCABULARIES, "byte_bpe_50k.json").read_bytes())
+    other["model"]["merges"][0], other["model"]["merges"][1] = other["model"]["merges"][1], other["model"]["merges"][0]
+    assert alignment._ranked(other, enc.bytes_a) is None
 
 
 def test_runs_come_back():
