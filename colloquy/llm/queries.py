@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, extraction, langid, linededup, mixing, negatives, quality, secrets, simhash, toxicity, urls
+from . import alignment, decontam, extraction, forest, langid, linededup, mixing, negatives, quality, secrets, simhash, toxicity, urls
 from .common import spread, table
 
 
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spread(table(spark, sf_dir, "documents")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_url_filter, op5_html_text,
-        op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination, op12_hard_negatives,
+        op6_mixing, op7_secrets, op8_simhash, op9_toxicity, op10_decontamination, op11_minhash_forest, op12_hard_negatives,
         op13_token_alignment,
     )}
 
