@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, free_name, stash
 from .graph import components
 
 #: A-Z to a-z, every other byte to itself.
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``, and ``more`` long columns."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             prints = pa.array([fingerprint(t.as_py()) for t in b.column(1)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), prints], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, fp long")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return asked.mapInArrow(batches, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in asked.columns[2:])]))
 
 
 class _Forest:
@@ -217,22 +218,34 @@ def near_links(prints: DataFrame, budget: int = 2, node_rows: int = 1 << 20, lea
     return links
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest
-    doc_id reachable over links of at most ``budget`` differing bits."""
-    prints, _ = stash(fingerprints(docs))
+def _components(prints: DataFrame, budget: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct ``fp`` of ``prints``."""
     distinct, _ = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links, path = stash(near_links(distinct.select("fp"), budget))
     roots = components(links)
-    discard(docs.sparkSession, path)
+    discard(prints.sparkSession, path)
     labelled = distinct.join(roots, distinct.fp == roots.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of, _ = stash(labelled.join(named, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return stash(labelled.join(named, "root").select("fp", "root", "component_id"))[0]
+
+
+def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest
+    doc_id reachable over links of at most ``budget`` differing bits."""
+    prints, _ = stash(fingerprints(docs))
+    return prints.join(_components(prints, budget).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest. Rows
-    that repeat that doc_id stay with it; rows with a null doc_id stay."""
-    drop = near_duplicates(docs, budget).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
+    """One document of each component: the one of the smallest doc_id, and of
+    those that share it, or have none, the one of the least text hash. Rows
+    equal to it in doc_id and text stay with it, but without a doc_id one stays.
+    A doc_id that repeats with texts of several components stays in each."""
+    text_hash = free_name(docs, "text_hash")
+    prints, _ = stash(fingerprints(docs, F.xxhash64("text").alias("print_hash")))
+    place = F.struct(F.col("doc_id").isNull().alias("nowhere"), F.col("doc_id").alias("kept_id"), F.col("print_hash").alias("kept_hash"))
+    first = prints.join(_components(prints, budget).select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    same = docs["doc_id"].cast("long").eqNullSafe(first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_hash"])
+    kept = docs.join(first, same, "left_semi")
+    nameless = kept.where(F.col("doc_id").isNull()).withColumn(text_hash, F.xxhash64("text")).dropDuplicates([text_hash]).drop(text_hash)
+    return kept.where(F.col("doc_id").isNotNull()).unionByName(nameless)
