@@ -9,9 +9,10 @@ rows carry no text: joined to the fourth stage's by doc_id they say how often
 each is to be written out.
 
 Defined results: null and empty texts hold no toxic token, no line and no item
-and share the fingerprint zero, so one such document stays; rows without a
-doc_id stay unless they are toxic, hold an item, or all of their lines are kept
-elsewhere; rows equal in doc_id and text stay together; extra columns, whatever
+and share the fingerprint zero, so one such document stays; a row without a
+doc_id stays where its SimHash group has none with one, and then once; a doc_id
+that repeats with different texts is a document for each; rows equal in doc_id
+and text stay together; extra columns, whatever
 their names, are carried as far as the fourth stage; empty tables give an empty
 result.
 """
