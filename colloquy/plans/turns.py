@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import frames
+from ..functions import bytepairs, frames, segmentation
 from ..functions import text as T
 from ..operators import context, fragments, history, hooks, memory, metering, mutations, prompts, search
 from ..settings import SETTINGS, overlaid
@@ -360,3 +360,20 @@ def hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = [c for c in rows.columns if c != "id"]
     made = rows.select(F.to_json(F.struct(*kept)).alias("row"))
     return made.select(F.from_json("row", rows.select(*kept).schema).alias("r")).select("r.*")
+
+
+@_query()
+def segmented_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search tokens of every document with its spaces taken out, by the words
+    of all documents: a text as a script without spaces would have it."""
+    docs = tables.read(spark, sf_dir, "documents")
+    found = segmentation.segmented(docs, F.replace("text", F.lit(" "), F.lit("")), segmentation.learn(docs, "text"))
+    return found.select("doc_id", F.size(F.split("search_tokens", " ")).alias("n_tokens"), "search_tokens")
+
+
+@_query()
+def model_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every message by the vocabulary of its session's model."""
+    owners = _models(spark, sf_dir).select("session_id", "model")
+    said = tables.messages(spark, sf_dir).join(owners, "session_id").withColumn("encoding", bytepairs.encoding_of(F.col("model")))
+    return bytepairs.counted(said, F.col("content"), F.col("encoding")).select("session_id", "ordinal", "model", "encoding", "tokens")
