@@ -698,9 +698,9 @@ def test_walks_of_all_places_are_walks():
     rng = np.random.default_rng(1)
     coded = rng.integers(0, 40, 700)
     for turn in range(6):
-        coin, steps = decontam.coins(turn, 40, 90), decontam.sampled_steps(60, turn, 3)
-        keys = decontam.walk_all(coded, [c[coded] for c in coin], steps)
-        slow, _ = decontam.walk(coded, np.arange(len(keys)), np.full(len(keys), len(coded)), coin, steps)
+        steps = decontam.sampled_steps(60, turn, 3)
+        keys = decontam.walk_all(coded, turn, steps)
+        slow, _ = decontam.walk(coded, np.arange(len(keys)), np.full(len(keys), len(coded)), turn, steps)
         assert (keys == slow).all() and len(keys) == len(coded) - steps[-1]
 
 
