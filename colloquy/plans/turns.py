@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bytepairs, frames, segmentation
 from ..functions import text as T
-from ..operators import context, fragments, history, hooks, memory, metering, mutations, prompts, search
+from ..operators import context, fragments, history, hooks, index, memory, metering, mutations, prompts, search
 from ..settings import SETTINGS, overlaid
 from ..sources import tables
 from ..streaming import state
-from .queries import _DELTAS, _KIND_OF, _MODEL_OF, _TOKENS, KEYWORD, _models, _query
+from .queries import _DELTAS, _KIND_OF, _MODEL_OF, _TERMS, _TOKENS, KEYWORD, _models, _query
 from .views import MESSAGES, SESSIONS, WINDOWED, iso
 
 _LAST_FIVE = "row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, ordinal DESC) <= 5"
@@ -377,3 +377,31 @@ def model_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = _models(spark, sf_dir).select("session_id", "model")
     said = tables.messages(spark, sf_dir).join(owners, "session_id").withColumn("encoding", bytepairs.encoding_of(F.col("model")))
     return bytepairs.counted(said, F.col("content"), F.col("encoding")).select("session_id", "ordinal", "model", "encoding", "tokens")
+
+
+@_query(
+    f"""WITH {MESSAGES}, hit AS (
+  SELECT session_id, ordinal, created_at, CAST(len(list_intersect({_TERMS}, {_TOKENS.format("lower(content)")})) AS INTEGER) AS matched
+  FROM messages WHERE list_has_any({_TOKENS.format("lower(content)")}, {_TERMS}))
+SELECT session_id, ordinal, matched, CAST(row_number() OVER (PARTITION BY session_id ORDER BY created_at, ordinal) AS INTEGER) AS rank
+FROM hit QUALIFY rank <= 10"""
+)
+def indexed_message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``message_search`` through a stored index, which two appends fill."""
+    path, rows = f"{state.scratch(spark)}/index", tables.messages(spark, sf_dir)
+    for half in (0, 1):
+        index.append(rows.where(F.col("ordinal") % 2 == half), path)
+    found = index.search(spark, path, KEYWORD)
+    return found.select(F.col("owner").alias("session_id"), "ordinal", "matched", "rank")
+
+
+@_query(
+    f"""SELECT doc_id, CAST(len(list_intersect({_TERMS}, {_TOKENS.format("lower(text)")})) AS INTEGER) AS matched
+FROM documents WHERE list_has_any({_TOKENS.format("lower(text)")}, {_TERMS})"""
+)
+def indexed_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_search`` through a stored index."""
+    path = f"{state.scratch(spark)}/index"
+    rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp_ntz").alias("created_at"), "text")
+    index.append(rows, path, "doc_id", "text")
+    return index.documents(spark, path, KEYWORD).select(F.col("owner").cast("long").alias("doc_id"), "matched")
