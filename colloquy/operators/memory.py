@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..settings import SETTINGS
 
 
@@ -18,16 +19,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot / size)
 
 
-def recall(memories: DataFrame, query: list[float], limit: int = SETTINGS.recall_limit, rerank: int = SETTINGS.rerank_limit, threshold: float | None = SETTINGS.recall_score) -> DataFrame:
-    """Each user's nearest items: ``limit`` by score, ``rerank`` of those, then
-    the threshold. Spark's window group limit keeps a heap, not a user's rows,
-    before the shuffle."""
+def recall(memories: DataFrame, query: list[float], limit: int = SETTINGS.recall_limit, threshold: float | None = SETTINGS.recall_score) -> DataFrame:
+    """Each user's ``limit`` nearest items to one query, then the threshold.
+    Spark's window group limit keeps a heap, not a user's rows, before the
+    shuffle."""
     scored = memories.withColumn("score", F.coalesce(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), F.lit(0.0)))
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "id")
-    found = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).where(F.col("rank") <= rerank)
+    found = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
+def _grams(word: Column, n: int = 3) -> Column:
+    """The different stretches of ``n`` characters; a shorter word is one."""
+    size = F.greatest(F.length(word) - (n - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(word, k, n)))
+
+
+def max_similarity(query: Column, text: Column) -> Column:
+    """How well a text answers a query, 0 to 1: for each of the query's words
+    the likeness of the text's word nearest to it, averaged. Two words are as
+    like as their character trigrams are shared; all in the JVM."""
+    known = F.array_distinct(tokens(text, lower=True))
+    like = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    grams = F.transform(known, lambda w: _grams(w))
+    best = F.transform(tokens(query, lower=True), lambda w: F.coalesce(F.array_max(F.transform(grams, lambda g: like(_grams(w), g))), F.lit(0.0)))
+    total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(F.when(F.size(best) > 0, total / F.size(best)), F.lit(0.0))
+
+
+def reranked(found: DataFrame, score: Column, limit: int = SETTINGS.rerank_limit, threshold: float | None = None, by: str = "user_id") -> DataFrame:
+    """The second stage: what the first stage found ordered anew by a score of
+    its own, ``rerank_score``, of which ``limit`` stay; a threshold is on that
+    score too. ``score`` may be any column: ``max_similarity``, or a Pandas UDF
+    that asks a model."""
+    scored = found.drop("rank").withColumn("rerank_score", score)
+    w = Window.partitionBy(by).orderBy(F.desc("rerank_score"), "id")
+    kept = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return kept if threshold is None else kept.where(F.col("rerank_score") >= threshold)
+
+
 def listed(memories: DataFrame) -> DataFrame:
     """Each user's whole store as its public fields; no metadata is an empty map."""
     none = F.create_map().cast("map<string,string>")

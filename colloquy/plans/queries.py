@@ -35,7 +35,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import turns  # noqa: F401  registers its queries here
+    from . import recalls, turns  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
@@ -239,8 +239,8 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 @_query(f"""WITH {_RECALL.format("0.0")} SELECT CAST(label AS VARCHAR) AS user_id, vec_id AS id, rank FROM recalled""")
 def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten by score, five of those, then the threshold, for each user."""
-    found = memory.recall(tables.memories(spark, sf_dir), _query_vector(spark, sf_dir), threshold=0.0)
+    """Five by score, then the threshold, for each user."""
+    found = memory.recall(tables.memories(spark, sf_dir), _query_vector(spark, sf_dir), SETTINGS.rerank_limit, 0.0)
     return found.select("user_id", "id", "rank")
 
 
@@ -257,7 +257,7 @@ UNION ALL SELECT session_id, 3, 0, 'user', 'What next in ' || session_id || '?'
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole prompt of each session, a row for each message."""
     sessions = tables.sessions(spark, sf_dir)
-    facts = memory.facts(memory.recall(tables.memories(spark, sf_dir), _query_vector(spark, sf_dir), threshold=0.0))
+    facts = memory.facts(memory.recall(tables.memories(spark, sf_dir), _query_vector(spark, sf_dir), SETTINGS.rerank_limit, 0.0))
     query = F.concat(F.lit("What next in "), F.col("session_id"), F.lit("?"))
     return prompts.assemble(context.window(tables.messages(spark, sf_dir)), sessions, facts, query)
 
