@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import context, fragments, history, hooks, index, memory, metering, mutations, prompts, search
 from ..settings import SETTINGS, overlaid
 from ..sources import tables
-from ..streaming import state
+from ..streaming import processors, state
 from .queries import _DELTAS, _KIND_OF, _MODEL_OF, _TERMS, _TOKENS, KEYWORD, _models, _query
 from .views import MESSAGES, SESSIONS, WINDOWED, iso
 
@@ -99,7 +99,31 @@ SELECT call, coalesce(string_agg(content, '' ORDER BY seq, content), '') AS cont
 )
 def stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the calls that have ended, from a stream of fragments."""
-    return state.appended(state.assembled_text(state.delta_stream(spark, sf_dir)))
+    versions = state.appended(state.assembled_text(state.delta_stream(spark, sf_dir)))
+    return mutations.latest(versions, "call", "version").select("call", "content")
+
+
+@_query(
+    f"""WITH {_DELTAS}, n AS (
+  SELECT *, coalesce(sum(CASE WHEN finish_reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY call ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS completion,
+         sum(CASE WHEN finish_reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY call) AS ends
+  FROM d
+), t AS (
+  SELECT call, completion, coalesce(string_agg(content, '' ORDER BY seq, event_id), '') AS content, max(finish_reason) AS finish_reason FROM n WHERE completion < ends GROUP BY ALL
+), c AS (
+  SELECT call, completion, index, coalesce(max_by(id, (seq, event_id)) FILTER (WHERE id <> ''), '') AS id, coalesce(string_agg(name, '' ORDER BY seq, event_id), '') AS name,
+         coalesce(string_agg(arguments, '' ORDER BY seq, event_id), '') AS arguments
+  FROM n WHERE completion < ends GROUP BY ALL
+)
+SELECT t.call, CAST(t.completion AS BIGINT) AS completion, content, finish_reason, string_agg(id, ',' ORDER BY index) AS ids, string_agg(name, ',' ORDER BY index) AS names,
+       string_agg(arguments, '|' ORDER BY index) AS arguments
+FROM t JOIN c USING (call, completion) GROUP BY ALL"""
+)
+def stream_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and tool calls of each completion, from a stream of fragments."""
+    found = state.appended(processors.completions(state.delta_stream(spark, sf_dir)))
+    joined = lambda field, by: F.array_join(F.transform("tool_calls", lambda c: c[field]), by)
+    return found.select("call", "completion", "content", "finish_reason", joined("id", ",").alias("ids"), joined("name", ",").alias("names"), joined("arguments", "|").alias("arguments"))
 
 
 @_query(

@@ -5,15 +5,11 @@ Event-time watermarks are Spark's: the reference's marks are token budgets.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import search_tokens
 from ..operators.context import window
@@ -23,6 +19,7 @@ from ..operators.mutations import latest
 from ..operators.prompts import summary_input
 from ..settings import SETTINGS
 from ..sources.tables import fragments_of, token_estimate
+from . import processors
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,36 +39,20 @@ def message_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) ->
     )
 
 
-def delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def delta_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) -> DataFrame:
     """``events`` as a stream of text fragments, as ``tables.deltas`` has them."""
     path = f"{sf_dir}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    return fragments_of(raw).select("call", "seq", "content", "finish_reason")
-
-
-def hot_lists(messages: DataFrame, n: int = SETTINGS.hot_messages, seconds: int | None = SETTINGS.hot_seconds) -> DataFrame:
-    """(session_id, version, messages): the capped list after each batch that
-    writes to it, each message as JSON with all of its columns; ``version`` counts the session's messages so far. State is at
-    most ``n`` messages a session and goes after ``seconds`` without a write.
-    A timeout keeps a stream busy, so a run over what is there now
-    (``availableNow``) takes ``seconds=None``."""
-
-    def keep(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, version = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for rows in batches:
-            held += json.loads(rows.drop(columns="session_id").to_json(orient="records", date_format="iso", date_unit="us"))
-            held, version = sorted(held, key=lambda x: x["ordinal"])[-n:], version + len(rows)
-        state.update((json.dumps(held, ensure_ascii=False), version))
-        if seconds is not None:
-            state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"session_id": [key[0]], "version": [version], "messages": [json.dumps(held, ensure_ascii=False)]})
-
-    return messages.groupBy("session_id").applyInPandasWithState(
-        keep, "session_id string, version long, messages string", "held string, version long", "append", GroupStateTimeout.NoTimeout if seconds is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path + "*")
+    fragments = fragments_of(raw)
+    return fragments.select("call", "seq", F.col("event_id").alias("tie"), "index", "id", "name", "arguments", "content", "finish_reason")
+
+
+def hot_lists(messages: DataFrame, n: int = SETTINGS.hot_messages, seconds: int | None = SETTINGS.hot_seconds, initial: DataFrame | None = None) -> DataFrame:
+    """``processors.hot_lists`` with each list as one JSON text. A time to live
+    keeps a stream busy, so a run over what is there now (``availableNow``)
+    takes ``seconds=None``."""
+    lists = processors.hot_lists(messages, n, seconds, initial)
+    return lists.withColumn("messages", F.to_json("messages", {"ignoreNullFields": "false"}))
 
 
 def running_usage(messages: DataFrame) -> DataFrame:
@@ -80,23 +61,9 @@ def running_usage(messages: DataFrame) -> DataFrame:
 
 
 def assembled_text(deltas: DataFrame) -> DataFrame:
-    """(call, content): fragments joined by ``seq``; a call is emitted when its
-    end arrives (``finish_reason`` set)."""
-
-    def join(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, ended = (json.loads(state.get[0]) if state.exists else []), False
-        for rows in batches:
-            held += [[int(s), c] for s, c in zip(rows["seq"], rows["content"], strict=True) if c is not None]
-            ended = ended or rows["finish_reason"].notna().any()
-        if ended:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"call": [key[0]], "content": ["".join(c for _, c in sorted(held))]})
-        else:
-            state.update((json.dumps(held),))
-
-    kind = deltas.schema["call"].dataType.simpleString()
-    return deltas.groupBy("call").applyInPandasWithState(join, f"call {kind}, content string", "held string", "append", GroupStateTimeout.NoTimeout)
+    """(call, version, content) of the calls that have ended; the row of the
+    greatest version counts, whatever the batches were."""
+    return processors.texts(deltas)
 
 
 def appended(stream: DataFrame) -> DataFrame:
