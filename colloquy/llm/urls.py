@@ -31,11 +31,13 @@ RULES = (
 
 #: Names and paths labelled by hand for training.
 BLOCKED_NAMES = (
-    "spam-offers", "spam-central", "link-spam", "spamfarm", "link-farm", "content-farm", "buy-cheap-pills", "cheap-meds", "pills-online", "diet-pills",
-    "viagra-shop", "casino-royal", "win-casino", "online-casino", "casino-slots", "big-win", "free-bets-now", "bets-club", "sports-bet", "free-money",
-    "adult-videos", "adult-chat", "x-adult", "porn-tube", "sex-cams", "ads-server", "track-ads", "click-track", "ad-farm", "adtracker",
-    "loan-fast", "payday-loans", "replica-watches", "warez-crack", "lottery-win", "poker-slots", "malware-drop", "phish-login", "torrent-pirate", "cheap-replica",
-    "porn-stars", "pornvideos", "payday-cash", "slots-online", "viagra-now", "sexvideos", "bets-today", "warez-world", "x-casino", "hot-pills",
+    "spam-offers", "spam-central", "link-spam", "content-farm", "clickbait-daily", "click-through", "seo-backlinks", "traffic-boost", "popunder-net",
+    "cheap-meds", "pills-online", "diet-pills", "viagra-shop", "viagra-now", "meds-direct", "discount-pharma", "rx-pharmacy", "steroids-lab", "weightloss-secret",
+    "casino-royal", "online-casino", "casino-slots", "slots-online", "poker-slots", "roulette-live", "roulette-king", "blackjack-pro", "jackpot-city", "mega-jackpot", "bingo-bonus",
+    "bets-club", "bets-today", "sports-bet", "betting-tips", "big-win", "lottery-win", "free-money", "free-prize", "gambling-den",
+    "adult-videos", "adult-chat", "porn-tube", "porn-stars", "pornvideos", "sex-cams", "sexvideos", "nude-models", "nudes-daily", "hot-girls", "hot-dates", "singles-tonight", "local-singles", "escort-agency", "webcam-girls",
+    "ads-server", "click-track", "ad-farm", "adtracker", "loan-fast", "payday-loans", "payday-cash", "quick-credit", "forex-profit", "crypto-giveaway", "bitcoin-doubler",
+    "replica-watches", "cheap-replica", "fake-rolex", "warez-crack", "warez-world", "keygen-serials", "malware-drop", "phish-login", "torrent-pirate",
 )
 ALLOWED_NAMES = (
     "news", "daily-herald", "library", "museum", "school", "university", "garden", "weather", "recipes", "travel", "history", "science", "music", "books",
@@ -44,7 +46,9 @@ ALLOWED_NAMES = (
     "novels", "cinema", "archive", "farmers-market", "windows", "winter", "spring", "betty-knits", "address-book", "adventure", "cheese", "trackside",
     "pillow-talk", "clinic", "observatory", "translation", "education", "action", "nation", "earth", "ocean", "birds", "hiking", "cycling", "railway",
     "bridge", "castle", "cathedral", "pottery", "weaving", "carpenter", "lantern", "compass", "journal", "quarterly", "review", "society", "academy", "college",
-    "essex-county", "sussex-walks",
+    "essex-county", "sussex-walks", "singer", "single-malt", "hotel-review", "photo-album", "clock-museum", "media", "medieval", "model-railway", "picnic", "jacket", "liverpool",
+    "observer", "tribune", "sentinel", "lakeside", "vineyard", "meadow", "orchard", "sculpture", "folk-music", "allotment", "aquarium", "zoology", "grammar", "dictionary",
+    "notebook", "parish", "volunteer",
 )
 PREFIXES = ("", "www.", "m.", "blog.")
 SUFFIXES = (".example", ".example.com", ".example.net", ".example.org", ".com", ".net", ".org")
@@ -70,8 +74,8 @@ def labelled_urls() -> list[tuple[str, int]]:
     """The default training table. Every name stands before every suffix, the
     prefixes and neutral paths in turn, so that these tell nothing; every path
     that makes the class stands on mixed hosts of each suffix
-    as well. More urls are allowed than blocked."""
-    rows, n = [], len(SUFFIXES)
+    as well. More urls are allowed than blocked, and so is what is no url."""
+    rows, n = [("", 0)] * 5, len(SUFFIXES)
     for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
         for i, name in enumerate(names):
             rows += [(f"http://{PREFIXES[(i + k) % len(PREFIXES)]}{name}{SUFFIXES[k]}{PATHS[(i + 2 * k) % len(PATHS)]}", label) for k in range(n)]
@@ -102,7 +106,7 @@ def grams(host: str, path: str, least: int = 3, most: int = 5) -> np.ndarray:
     return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 600, rate: float = 0.5, ridge: float = 3e-4) -> np.ndarray:
+def fit(rows: list[tuple[str, int]], rounds: int = 1200, rate: float = 0.5, ridge: float = 3e-4) -> np.ndarray:
     """Weights, the bias last, by full-batch gradient descent."""
     seen = [grams(*split_url(url)) for url, _ in rows]
     count = np.array([len(g) for g in seen])
