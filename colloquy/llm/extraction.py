@@ -9,14 +9,16 @@ body, menus and all, is the threshold that a block beside the path must reach
 to count as text; so are words that stand in nodes of the path by themselves.
 Between taken blocks of one parent nothing but link lists is left out, and a
 heading goes with the block that it heads. Marks as article or main play no
-part in this.
+part in this choice.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are taken out by element, role, class and id. A
 class or id counts where a listed name is its head ("site-footer",
 "sidebar-left", but neither "has-sidebar" nor "social-impact"), and not on
 headings and paragraphs. A form or a named element that holds the page's
-article stays: see ``_Page._drop``.
+article stays, which its article and main elements tell: see ``_Page._drop``.
+Nothing else is left out: not what is hidden, nor what stands in for scripts,
+drawings and films, nor labels and field sets outside of forms.
 
 A row needs only its own page: one scan, no shuffle, time in proportion to the
 page. Unclosed and misnested markup is closed as browsers do.
@@ -43,8 +45,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe svg select".split())
-DROP = frozenset("nav footer aside form button input select label head menu dialog canvas video audio fieldset".split())
+RAW = frozenset("script style textarea title template iframe select".split())
+DROP = frozenset("nav footer aside form button input select head dialog".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -97,8 +99,6 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
     why = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return _HARD
         if name == "role" and value in DROP_ROLES:
             if value != "form":
                 return _HARD

@@ -130,7 +130,7 @@ def train(docs: DataFrame, sample_rows: int = 4000, most_langs: int = 1000) -> t
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
     if len(counts) > most_langs:
-        raise ValueError(f"over {most_langs} values of lang to learn")
+        raise ValueError(f"over {most_langs} values of lang to learn; most_langs may be raised, at 128 KB of weights each")
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((_SIZE + 1, 0), dtype=np.float32), 1.0
@@ -153,9 +153,9 @@ def train(docs: DataFrame, sample_rows: int = 4000, most_langs: int = 1000) -> t
     return langs, table, t
 
 
-def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 4000, most_langs: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_rows))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_rows, most_langs))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, t = model.value
