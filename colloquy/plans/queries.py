@@ -35,7 +35,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import recalls, turns  # noqa: F401  register their queries here
+    from . import recalls, rounds, turns  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 

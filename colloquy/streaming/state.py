@@ -66,6 +66,24 @@ def assembled_text(deltas: DataFrame) -> DataFrame:
     return processors.texts(deltas)
 
 
+def outcomes(starts: DataFrame, ends: DataFrame, within: str, late: str) -> DataFrame:
+    """(turn, started_at, ended_at, outcome): a turn that ends ``within`` a
+    time is finished; one that does not is aborted, which is told once no end
+    in time can come any more, by the watermark of events up to ``late``. So
+    what an aborted turn made is known and need not be kept. This is an
+    addition: a back end sees its caller leave, a stream sees no end."""
+    begun = starts.withWatermark("started_at", late).select("turn", "started_at")
+    done = ends.withWatermark("ended_at", late).select(F.col("turn").alias("ended_turn"), "ended_at")
+    on = (F.col("turn") == F.col("ended_turn")) & F.expr(f"ended_at >= started_at AND ended_at <= started_at + INTERVAL {within}")
+    met = begun.join(done, on, "left_outer")
+    return met.select("turn", "started_at", "ended_at", F.when(F.col("ended_at").isNull(), "aborted").otherwise("finished").alias("outcome"))
+
+
+def persisted(messages: DataFrame, told: DataFrame) -> DataFrame:
+    """The messages of turns that finished; an aborted turn leaves none."""
+    return messages.join(told.where("outcome = 'finished'").select("turn"), "turn", "left_semi")
+
+
 def appended(stream: DataFrame) -> DataFrame:
     """Run an append stream over what its source holds now; its rows, written
     once each by the file sink."""
