@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tools as T
 from ..operators import loop
-from ..sources import tables
+from ..sources import tables, topics
 from ..streaming import state
 from .queries import _query
 from .views import MESSAGES
@@ -93,3 +93,18 @@ def turn_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = events().where("event_id % 2 = 0").select(F.col("event_id").alias("turn"), F.col("ts").alias("started_at"))
     ends = events().where("event_id % 2 = 1 AND event_type <> 'error'").select((F.col("event_id") - 1).alias("turn"), F.col("ts").alias("ended_at"))
     return state.appended(state.outcomes(starts, ends, "6 hours", "1 hour")).select("turn", "outcome")
+
+
+@_query(
+    f"""WITH {MESSAGES}
+SELECT session_id AS key, ordinal, token_count AS tokens, 'usage' AS kind FROM messages WHERE token_count > 0"""
+)
+def topic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message's usage sent by a stream to a topic, and read from it."""
+    root = state.scratch(spark)
+    said = state.message_stream(spark, sf_dir).where("token_count > 0")
+    value = F.to_json(F.struct("ordinal", F.col("token_count").alias("tokens")))
+    topics.send(said.select(F.col("session_id").alias("key"), value.alias("value")), root, "usage", f"{root}/log", {"kind": "usage"})
+    got = state.appended(topics.read(spark, root, "usage", stream=True))
+    fields = F.from_json("value", "ordinal long, tokens long")
+    return got.select("key", fields.alias("v"), F.col("headers")["kind"].alias("kind")).select("key", "v.ordinal", "v.tokens", "kind")
