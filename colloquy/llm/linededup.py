@@ -327,10 +327,12 @@ def _rest(members: DataFrame, large: DataFrame, roots: DataFrame, block_rows: in
     return host.unionByName(guest)
 
 
-def _bitmap(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) of the ids' low bits: it spares the
-    shuffle of lines that are in no pair. As the corpus grows it fills up and
-    spares less; the join that follows it decides."""
+def _bitmap(ids: DataFrame, most_bits: int = 28) -> np.ndarray:
+    """A bitmap of the ids' low bits, eight for each id: it spares the shuffle
+    of lines that are in no pair. It has 1 MB at least and 32 MB at most, which
+    33 million ids fill; beyond that it spares less, and the join that follows
+    it decides."""
+    bits = min(most_bits, max(23, (8 * ids.count()).bit_length()))
     slot = F.expr(f"id & {(1 << bits) - 1}L")
     words = ids.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(id & 63L as int))").alias("b"))
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
