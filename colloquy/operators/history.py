@@ -63,6 +63,18 @@ def paged(rows: DataFrame, key: str, order: list[Column], page: int, size: int)
     )
 
 
+def seek(rows: DataFrame, last: DataFrame, key: str, order: tuple[str, ...], size: int) -> DataFrame:
+    """The ``size`` rows of each key that follow the last one seen: ``last``
+    has the key and the ``order`` columns of that row, with no row for a key
+    that is at its beginning. Pages before it are not ranked, and a window
+    group limit keeps ``size`` rows a key and task before the shuffle."""
+    bounds(1, size)
+    seen = last.select(key, F.struct(*order).alias("_seen"))
+    later = rows.join(seen, key, "left").where(F.col("_seen").isNull() | (F.struct(*order) > F.col("_seen"))).drop("_seen")
+    w = Window.partitionBy(key).orderBy(*order)
+    return later.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
+
+
 def page_of_user(sessions: DataFrame, user_id: str, page: int = 1, size: int = SETTINGS.page_size) -> DataFrame:
     """One user's sessions, newest first: a top-n, not a sort of the table."""
     bounds(page, size)

@@ -429,3 +429,19 @@ def indexed_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp_ntz").alias("created_at"), "text")
     index.append(rows, path, "doc_id", "text")
     return index.documents(spark, path, KEYWORD).select(F.col("owner").cast("long").alias("doc_id"), "matched")
+
+
+@_query(
+    f"""WITH {MESSAGES}, r AS (
+  SELECT session_id, ordinal, role, row_number() OVER (PARTITION BY session_id ORDER BY created_at, ordinal) AS r FROM messages WHERE role IN ('user', 'assistant')
+)
+SELECT session_id, ordinal, role, CAST(r - 2 AS INTEGER) AS rank FROM r WHERE r BETWEEN 3 AND 4"""
+)
+def history_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of two of each session's dialogue, from the last row of
+    the first."""
+    rows = history.dialogue(tables.messages(spark, sf_dir)).select("session_id", "created_at", "ordinal", "role")
+    first = rows.limit(0).select("session_id", *history.IN_TIME)
+    page = history.seek(rows, first, "session_id", history.IN_TIME, 2)
+    last = page.groupBy("session_id").agg(F.max_by(F.struct(*history.IN_TIME), "rank").alias("l")).select("session_id", "l.*")
+    return history.seek(rows, last, "session_id", history.IN_TIME, 2).select("session_id", "ordinal", "role", "rank")
