@@ -272,9 +272,11 @@ def history_tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing holds, times after the session, and plain ones, by turns."""
     messages = tables.messages(spark, sf_dir)
     n = F.col("session_id").cast("long") % 5
-    requests = messages.select("session_id").distinct().select(
+    # No fixed time comes after every session: their times grow with the table.
+    after = T.iso(F.col("last") + F.expr("INTERVAL '1' MINUTE"))
+    requests = messages.groupBy("session_id").agg(F.max("created_at").alias("last")).select(
         F.col("session_id").alias("request_id"), "session_id", F.when(n == 1, " ").when(n == 2, "zzzz").otherwise(KEYWORD).alias("keyword"),
-        F.when(n == 3, "2030-01-01T00:00:00").when(n == 4, "not a time").alias("start_time"), F.lit(None).cast("string").alias("end_time"),
+        F.when(n == 3, after).when(n == 4, "not a time").alias("start_time"), F.lit(None).cast("string").alias("end_time"),
     )
     return search.history_tool(messages, requests)
 
