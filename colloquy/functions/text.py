@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..settings import SETTINGS
 
 WORDS = r"[\p{L}\p{N}]+"
+TOKENS = r"[\p{L}\p{N}]{2,}"
 
 
 def tokens(text: Column, lower: bool = False) -> Column:
     """Words of two characters or more, in order, repeats kept."""
-    found = F.regexp_extract_all(F.lower(text) if lower else text, F.lit(WORDS), F.lit(0))
-    return F.filter(found, lambda w: F.length(F.trim(w)) > 1)
+    return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKENS), F.lit(0))
 
 
 def search_tokens(text: Column) -> Column:

@@ -41,20 +41,18 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 
 def _write(found: DataFrame, path: str, mode: str, file_rows: int) -> None:
-    """A bucket's files: as many as its postings fill, so that a frequent
-    term's postings are dealt over tasks by owner."""
-    found = found.withColumn("bucket", _bucket(F.col("term")))
-    # A row for each of the buckets.
-    sizes = found.groupBy("bucket").agg(F.ceil(F.count("*") / file_rows).alias("files"))
-    dealt = found.join(F.broadcast(sizes), "bucket").withColumn("file", F.pmod(F.xxhash64("owner"), F.col("files")))
-    placed = dealt.repartition("bucket", "file").sortWithinPartitions("bucket", "file", "term", "rank").drop("files", "file")
-    placed.write.mode(mode).option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(path)
+    """Postings by bucket. What a bucket holds is known after the shuffle only:
+    there a large bucket is dealt over tasks, so no pass is needed to count."""
+    placed = found.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "rank")
+    placed.write.mode(mode).option("parquet.block.size", 8 << 20).option("maxRecordsPerFile", file_rows).partitionBy("bucket").parquet(path)
 
 
-def append(rows: DataFrame, path: str, owner: str = "session_id", text: str = "content", file_rows: int = 5_000_000) -> None:
+def append(rows: DataFrame, path: str, owner: str = "session_id", text: str = "content", file_rows: int = 5_000_000, single: bool = False) -> None:
     """Add the postings of ``rows`` to the index at ``path``; a row may be
-    added once only."""
-    _write(_ranked(postings(rows, owner, text)), path, "append", file_rows)
+    added once only. Where owners are ``single`` rows, a posting is its owner's
+    first of its term, and nothing needs to be ranked."""
+    found = postings(rows, owner, text)
+    _write(found.withColumn("rank", F.lit(1)) if single else _ranked(found), path, "append", file_rows)
 
 
 def compact(spark: SparkSession, path: str, to: str, file_rows: int = 5_000_000) -> None:

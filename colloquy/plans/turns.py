@@ -429,7 +429,7 @@ def indexed_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``document_search`` through a stored index."""
     path = f"{state.scratch(spark)}/index"
     rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp_ntz").alias("created_at"), "text")
-    index.append(rows, path, "doc_id", "text")
+    index.append(rows, path, "doc_id", "text", single=True)
     return index.documents(spark, path, KEYWORD).select(F.col("owner").cast("long").alias("doc_id"), "matched")
 
 

@@ -72,3 +72,38 @@ def test_words_are_counted_as_the_pattern_finds_them(spark):
 def test_only_frequent_words_are_ordered(spark):
     counts = spark.createDataFrame([(f"w{k:03}", 1 + k // 10) for k in range(100)], "word string, n long")
     assert segmentation._least_kept(counts, 25) == 8 and segmentation._least_kept(counts, 30) == 8 and segmentation._least_kept(counts, 1000) == 0
+
+
+def test_an_index_reads_each_text_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f"the word{n % 7} and word{n}"
+
+    rows = spark.range(0, 500, 1, 4).select(F.col("id").alias("doc_id"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp_ntz").alias("created_at"), text(F.col("id")).alias("text"))
+    index.append(rows, f"{tmp_path}/i", "doc_id", "text", file_rows=90, single=True)
+    assert seen.value == 500
+    stored = index.stored(spark, f"{tmp_path}/i")
+    of = lambda where: {int(r["owner"]): r["matched"] for r in index.documents(spark, f"{tmp_path}/i", where).collect()}
+    # word0 to word6 are a text's own word too in the first seven.
+    assert stored.count() == 2000 - 7 and of("the word3") == {n: 1 + (n % 7 == 3) for n in range(500)}
+    files = stored.groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in files) <= 90
+
+
+def test_tokens_are_the_words_of_two_characters(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.functions.text import WORDS, tokens
+
+    texts = [None, "", "a", "a bb c-dd_e ee", "\U0001d7d8 \U0001d7d8\U0001d7d8 é éé 软 软件 12 1", "x́y İx"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.filter(F.regexp_extract_all(F.lower("t"), F.lit(WORDS), F.lit(0)), lambda w: F.length(F.trim(w)) > 1)
+    for r in rows.select(tokens(F.col("t"), lower=True).alias("got"), plain.alias("want")).collect():
+        assert r["got"] == r["want"]
