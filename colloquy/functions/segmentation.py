@@ -325,6 +325,13 @@ class Segmenter:
             for of in blocks:
                 yield " ".join(filter(None, map(once.__getitem__, of)))
 
+    def filled(self, column: pd.Series) -> pd.Series:
+        """``searched`` with null for null. The rows stay Python strings: an
+        array of them would give each the width of the longest."""
+        there = column.notna()
+        found = self.searched(column[there].tolist())
+        return pd.Series([next(found) if t else None for t in there], index=column.index, dtype=object)
+
 
 def _some(texts: list[str], size: int) -> Iterator[list[str]]:
     """``texts`` in order in lists of about ``size`` characters."""
@@ -416,9 +423,6 @@ def segmented(rows: DataFrame, text: Column, model: Segmenter, name: str = "sear
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        there = column.notna()
-        out = pd.Series([None] * len(column), index=column.index, dtype=object)
-        out[there] = list(sent.value.searched(column[there].tolist()))
-        return out
+        return sent.value.filled(column)
 
     return rows.withColumn(name, run(text))

@@ -107,3 +107,18 @@ def test_tokens_are_the_words_of_two_characters(spark):
     plain = F.filter(F.regexp_extract_all(F.lower("t"), F.lit(WORDS), F.lit(0)), lambda w: F.length(F.trim(w)) > 1)
     for r in rows.select(tokens(F.col("t"), lower=True).alias("got"), plain.alias("want")).collect():
         assert r["got"] == r["want"]
+
+
+def test_a_long_text_does_not_widen_the_others():
+    import tracemalloc
+
+    import pandas as pd
+
+    own = segmenter(random.Random(7), "ab", 20, 5)
+    column = pd.Series([None, *["abab"] * 3000, "ab " * 20_000])
+    own.filled(column[:9])
+    tracemalloc.start()
+    found = own.filled(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and found[0] is None and found[1] == " ".join(own.search("abab")) and len(found) == len(column)
