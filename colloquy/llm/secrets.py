@@ -11,8 +11,9 @@ Each undoing of URL escapes or of Unicode escapes is a layer of its own, which
 is scanned before its escapes are undone in turn, to any depth. Of a layer only
 what the step changed is scanned, as far as a match or a base64 run can reach;
 all else stood in an earlier layer. Of a long stretch that a chain of escapes
-eats from the left, only what its new beginning gives is looked at. Where chains of both kinds stand in one
-stretch without a parting character, each pair of depths is a layer of its own.
+eats from the left, only what its new beginning gives is looked at. Where
+chains of both kinds stand in one stretch without a parting character, each
+pair of depths is a layer of its own.
 
 A base64 run, also one wrapped over lines, is decoded at all four alignments.
 Bytes that are not text part a layer but do not drop it; UTF-16 is read too.
@@ -255,15 +256,15 @@ class _Barren:
 
     def begins(self, data: bytes) -> bool:
         """Whether ``data`` is known to have nothing to read."""
-        i = bisect_right(self.states, len(data), key=lambda x: x[0])
-        for at, unpacker, size, end in reversed(self.states[max(i - 2, 0) : i]):
-            if self.data.startswith(data[:at]):
-                try:
-                    got = unpacker.copy().decompress(data[at:], self.most - size)
-                except zlib.error:
-                    return True
-                return size + len(got) < self.most and not any(_readable(end + got))
-        return False
+        i = bisect_left(self.states, True, key=lambda x: not self.data.startswith(data[: x[0]]) or x[0] > len(data))
+        if not i:
+            return False
+        at, unpacker, size, end = self.states[i - 1]
+        try:
+            got = unpacker.copy().decompress(data[at:], self.most - size)
+        except zlib.error:
+            return True
+        return size + len(got) < self.most and not any(_readable(end + got))
 
 
 class _Tail:
@@ -275,7 +276,7 @@ class _Tail:
         self.text, self.first, self.last = text, first, last
         self.told: set = set()
         self.decoded: dict = {}
-        self.barren = _Barren(b"", 0)
+        self.barren = [_Barren(b"", 0)] * 2
 
     @cached_property
     def matches(self) -> list[tuple[list[int], list[tuple[int, bool]]]]:
@@ -337,7 +338,7 @@ class _Tail:
                 for s, first, size in _readable(data[k : part.start() if part else len(data)]):
                     where = run.mapped(o + shift, first, size)
                     yield s, (lambda a, b, where=where: self.span(*where(a, b))), whole
-                if not shift and not self.barren.begins(data := data[k:]):
+                if not shift and not self.barren[wrapped].begins(data := data[k:]):
                     size, held = 0, False
                     for piece in _inflate(memoryview(data), zlib.decompressobj(-15), most):
                         size += len(piece)
@@ -345,7 +346,7 @@ class _Tail:
                             held = True
                             yield s, None, whole
                     if 0 < size < min(most, 1 << 20) and not held:
-                        self.barren = _Barren(data, min(most, 1 << 20))
+                        self.barren[wrapped] = _Barren(data, min(most, 1 << 20))
 
 
 class _Steps:
